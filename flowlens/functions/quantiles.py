@@ -1,188 +1,247 @@
 """Exact linear quantiles whose memory need does not grow with the table.
 
 Spark's ``percentile`` keeps one map entry per distinct value and merges them in one task.
-That is fine for columns with few distinct values, so it is used only where a counted
-estimate shows that. Other columns are narrowed first: ``percentile_approx`` names two
-values around the wanted rank, a counting pass checks how many rows lie below and between
-them, and the step repeats inside that bracket until few distinct values are left. A value
-that fills the bracket (a hot key) ends the search at once. Only scalars reach the driver.
+Here a mergeable sketch (``percentile_approx``) names two values around the wanted ranks and
+a counting scan tells how many rows lie below, on and between them. A frequent value is
+usually named by both ends, which settles the quantile at once; otherwise the step repeats
+strictly between the ends until few rows are left, and those are ranked. Every column and
+group shares each scan, and only scalars reach the driver.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ACCURACY = 10_000
-MAX_DISTINCT = 50_000
+RANKED_ROWS = 100_000
 
 
 @dataclass
 class _Search:
-    """One order statistic of one column: 0-based rank, bracket, rows below and inside."""
+    """The one or two order statistics around one quantile, and the bracket they are in."""
 
     column: str
-    rank: int
+    group: object
+    slot: int  # position of the quantile in the request
+    ranks: tuple[int, int]  # 0-based, equal or adjacent
     inside: int
+    margin: float
     below: int = 0
     low: float | None = None
     high: float | None = None
-    distinct: int | None = None
-    value: float | None = None
+    values: list = field(default_factory=lambda: [None, None])
 
-    def where(self) -> Column:
+    def mine(self) -> Column:
         c = F.col(self.column)
-        test = c.isNotNull()
+        test = c.isNotNull() if self.group is None else c.isNotNull() & (F.col("g") == F.lit(self.group))
         if self.low is not None:
-            test = test & (c >= F.lit(self.low))
-        if self.high is not None:
-            test = test & (c <= F.lit(self.high))
+            test = test & (c >= F.lit(self.low)) & (c <= F.lit(self.high))
         return test
 
     def bracketed(self) -> Column:
-        return F.when(self.where(), F.col(self.column))
+        return F.when(self.mine(), F.col(self.column))
+
+    def bracket(self) -> tuple:
+        return self.column, self.group, self.low, self.high
+
+    def ends(self) -> list[float]:
+        lo, hi = ((r - self.below + 0.5) / self.inside for r in self.ranks)
+        return [max(0.0, lo - self.margin), min(1.0, hi + self.margin)]
+
+    def open(self) -> bool:
+        return None in self.values
 
 
 def exact_quantiles(
     df: DataFrame,
     exprs: Mapping[str, Column],
     probs: Sequence[float],
-    max_distinct: int = MAX_DISTINCT,
+    by: Column | None = None,
+    groups: Sequence | None = None,
     accuracy: int = ACCURACY,
-) -> dict[str, list[float | None]]:
-    """Quantiles of several numeric expressions, all columns sharing each scan.
+    ranked_rows: int = RANKED_ROWS,
+) -> dict:
+    """Quantiles of several numeric expressions, all of them sharing each scan.
 
-    Nulls are ignored; an expression without values gives nulls. Group-wise quantiles are
-    requested as conditional expressions, one per group of a bounded label set.
+    Nulls are ignored; an expression without values gives nulls. With ``by``, the result is
+    keyed by (group, name) for the given, bounded list of groups, else by name.
     """
     keys = list(exprs)
+    cols = [f"v{i}" for i in range(len(keys))]
     if not keys:
         return {}
-    frame = df.select(*[exprs[k].cast("double").alias(f"v{i}") for i, k in enumerate(keys)])
-    cols = frame.columns
-    sized = frame.agg(
+    values = [exprs[k].cast("double").alias(c) for k, c in zip(keys, cols)]
+    if by is None:
+        frame, key = df.select(*values), []
+    else:
+        frame, key = df.where(by.isin(list(groups))).select(by.alias("g"), *values), ["g"]
+    margin = 3.0 / accuracy
+    ends = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
+    points = F.array(*[F.lit(e) for e in ends])
+    first = frame.groupBy(*key).agg(
         *[F.count(c).alias(f"n_{c}") for c in cols],
-        *[F.approx_count_distinct(c).alias(f"d_{c}") for c in cols],
-    ).first()
-    rows = {c: sized[f"n_{c}"] for c in cols}
-    narrow = [c for c in cols if sized[f"d_{c}"] <= max_distinct]
-    found: dict[str, list[float | None]] = {}
-    if narrow:
-        points = F.array(*[F.lit(float(p)) for p in probs])
-        got = frame.agg(*[F.percentile(c, points).alias(c) for c in narrow]).first()
-        for c in narrow:
-            found[c] = [None] * len(probs) if got[c] is None else list(got[c])
-    wide = [c for c in cols if c not in found]
-    if wide:
-        found.update(_search(frame, {c: rows[c] for c in wide}, probs, max_distinct, accuracy))
-    return {k: found[f"v{i}"] for i, k in enumerate(keys)}
-
-
-def _search(frame, rows, probs, max_distinct, accuracy):
-    open_ = {}
-    for c, n in rows.items():
-        for p in probs:
-            for r in {math.floor(p * (n - 1)), math.ceil(p * (n - 1))}:
-                open_[(c, r)] = _Search(c, r, n)
-    everything = dict(open_)
-    while open_:
-        _narrow(frame, list(open_.values()), accuracy)
-        few = [
-            s for s in open_.values()
-            if s.value is None and s.distinct is not None and s.distinct <= max_distinct
-        ]
+        *[F.percentile_approx(c, points, accuracy).alias(f"b_{c}") for c in cols],
+    ).collect()  # one row per group
+    searches, proposals = {}, []
+    for row in first:
+        g = row["g"] if key else None
+        for c in cols:
+            n = row[f"n_{c}"]
+            for i, p in enumerate(probs):
+                if n:
+                    pos = p * (n - 1)
+                    s = _Search(c, g, i, (math.floor(pos), math.ceil(pos)), n, margin)
+                    searches[g, c, p] = s
+                    proposals.append((s, *row[f"b_{c}"][2 * i : 2 * i + 2]))
+    todo = list(searches.values())
+    while todo:
+        _count(frame, proposals)
+        todo = [s for s in todo if s.open()]
+        few = [s for s in todo if s.low is not None and s.inside <= ranked_rows]
         if few:
-            _finish(frame, few)
-        open_ = {k: s for k, s in open_.items() if s.value is None}
-    out = {}
-    for c, n in rows.items():
-        out[c] = []
-        for p in probs:
-            pos = p * (n - 1)
-            lo, hi = (everything[(c, f(pos))].value for f in (math.floor, math.ceil))
-            out[c].append(lo + (hi - lo) * (pos - math.floor(pos)))
-    return out
-
-
-def _narrow(frame: DataFrame, searches: list[_Search], accuracy: int) -> None:
-    """Two scans for all open searches together: propose a smaller bracket, then count it."""
-    margin = 3.0 / accuracy
+            _rank(frame, few)
+            todo = [s for s in todo if s.open()]
+        proposals = _propose(frame, todo, accuracy) if todo else []
+
+    def value(g, c, p):
+        s = searches.get((g, c, p))
+        if s is None:
+            return None
+        lo, hi = s.values
+        return lo + (hi - lo) * (p * (s_rows[g, c] - 1) - s.ranks[0])
+
+    s_rows = {(r["g"] if key else None, c): r[f"n_{c}"] for r in first for c in cols}
+    if by is None:
+        return {k: [value(None, c, p) for p in probs] for k, c in zip(keys, cols)}
+    return {(g, k): [value(g, c, p) for p in probs] for g in groups for k, c in zip(keys, cols)}
+
+
+def _propose(frame: DataFrame, searches: list[_Search], accuracy: int) -> list[tuple]:
+    """A smaller bracket for each search; searches in the same bracket share one sketch."""
+    shared: dict[tuple, list[_Search]] = {}
+    for s in searches:
+        shared.setdefault(s.bracket(), []).append(s)
     ask = []
-    for i, s in enumerate(searches):
-        mid = (s.rank - s.below + 0.5) / s.inside
-        ends = F.array(F.lit(max(0.0, mid - margin)), F.lit(min(1.0, mid + margin)))
-        ask.append(F.percentile_approx(s.bracketed(), ends, accuracy).alias(f"b{i}"))
-    proposed = frame.agg(*ask).first()
+    for i, members in enumerate(shared.values()):
+        points = F.array(*[F.lit(e) for s in members for e in s.ends()])
+        ask.append(F.percentile_approx(members[0].bracketed(), points, accuracy).alias(f"b{i}"))
+    row = frame.agg(*ask).first()
+    return [
+        (s, row[i][2 * j], row[i][2 * j + 1])
+        for i, members in enumerate(shared.values())
+        for j, s in enumerate(members)
+    ]
+
+
+def _count(frame: DataFrame, proposals: list[tuple]) -> None:
+    """Count rows around the proposed ends; settle ranks on them or step between them.
+
+    Groups share one aggregate per column and quantile, with their own ends by group value.
+    """
+    slots: dict[tuple, list[tuple]] = {}
+    for s, lo, hi in proposals:
+        slots.setdefault((s.column, s.slot), []).append((s, lo, hi))
+    grouped = proposals[0][0].group is not None
+    ends = [{m.group: (lo, hi) for m, lo, hi in members} for members in slots.values()]
+    frame, bounds = _with_ends(frame, ends, grouped)
     ask = []
-    for i, s in enumerate(searches):
-        lo, hi = proposed[i]
-        c = F.col(s.column)
-        within = (c >= F.lit(lo)) & (c <= F.lit(hi))
-        ask += [
-            F.count_if(c < F.lit(lo)).alias(f"u{i}"),
-            F.count_if(within).alias(f"m{i}"),
-            F.approx_count_distinct(F.when(within, c)).alias(f"d{i}"),
-            F.max(F.when(c < F.lit(lo), c)).alias(f"p{i}"),
-            F.min(F.when(c > F.lit(hi), c)).alias(f"s{i}"),
-        ]
-    seen = frame.agg(*ask).first()
-    for i, s in enumerate(searches):
-        lo, hi = proposed[i]
-        under, within = seen[f"u{i}"], seen[f"m{i}"]
-        if s.rank < under:  # the sketch was off: keep the part below the proposal
-            s.high, s.inside, s.distinct = seen[f"p{i}"], under - s.below, None
-        elif s.rank >= under + within:  # or the part above it
-            end = s.below + s.inside
-            s.low, s.below, s.inside, s.distinct = (
-                seen[f"s{i}"], under + within, end - under - within, None,
-            )
-        else:
-            s.low, s.high, s.below, s.inside = lo, hi, under, within
-            s.distinct = seen[f"d{i}"]
-        if s.low is not None and s.low == s.high:
-            s.value = s.low
-
-
-def _finish(frame: DataFrame, searches: list[_Search]) -> None:
-    """Read the order statistic off the value counts of brackets known to be small."""
-    ids = {i: s for i, s in enumerate(searches)}
+    for i, ((column, _), (low, high)) in enumerate(zip(slots, bounds)):
+        c = F.col(column)
+        ask += [F.count_if(c < low).alias(f"u{i}"), F.count_if(c == low).alias(f"l{i}")]
+        if any(lo < hi for lo, hi in ends[i].values()):
+            between = F.when((c > low) & (c < high), c)
+            ask += [
+                F.count(between).alias(f"m{i}"),
+                F.count_if((c == high) & (high > low)).alias(f"h{i}"),
+                F.min(between).alias(f"a{i}"),
+                F.max(between).alias(f"z{i}"),
+            ]
+    rows = frame.groupBy(*(["g"] if grouped else [])).agg(*ask).collect()  # one per group
+    seen = {r["g"] if grouped else None: r.asDict() for r in rows}
+    for i, members in enumerate(slots.values()):
+        for s, lo, hi in members:
+            r = seen[s.group]
+            _step(s, lo, hi, *(r.get(f"{n}{i}") for n in ("u", "l", "m", "h", "a", "z")))
+
+
+def _with_ends(frame: DataFrame, ends: list[dict], grouped: bool):
+    """Frame and the (low, high) columns of every slot.
+
+    Without groups the ends are constants; with groups they come from a broadcast table of
+    one row per group.
+    """
+    if not grouped:
+        return frame, [tuple(F.lit(x) for x in e[None]) for e in ends]
+    groups = sorted({g for e in ends for g in e})
+    rows = [(g, *[x for e in ends for x in e.get(g, (None, None))]) for g in groups]
+    names = [f"{side}{i} double" for i in range(len(ends)) for side in ("lo", "hi")]
+    kind = frame.schema["g"].dataType.simpleString()
+    table = frame.sparkSession.createDataFrame(rows, ", ".join([f"g {kind}", *names]))
+    joined = frame.join(F.broadcast(table), "g")
+    return joined, [(F.col(f"lo{i}"), F.col(f"hi{i}")) for i in range(len(ends))]
+
+
+def _step(s: _Search, lo, hi, under, on_lo, mid, on_hi, least, most) -> None:
+    first_mid = under + on_lo
+    first_hi = first_mid + (mid or 0)
+    end = first_hi + (on_hi or 0)
+    if s.ranks[0] < under or s.ranks[1] >= end:  # the sketch missed: ask wider next time
+        s.margin = min(1.0, s.margin * 10)
+        return
+    for j, r in enumerate(s.ranks):
+        if r < first_mid:
+            s.values[j] = lo
+        elif r >= first_hi:
+            s.values[j] = hi
+        elif r == first_mid:
+            s.values[j] = least
+        elif r == first_hi - 1:
+            s.values[j] = most
+    if s.open():
+        s.low, s.high, s.below, s.inside = least, most, first_mid, mid
+
+
+def _rank(frame: DataFrame, searches: list[_Search]) -> None:
+    """Read the order statistics off running totals of the value counts in small brackets."""
+    slots: dict[tuple, list[_Search]] = {}
+    for s in searches:
+        slots.setdefault((s.column, s.slot), []).append(s)
+    grouped = searches[0].group is not None
+    ends = [{m.group: (m.low, m.high) for m in members} for members in slots.values()]
+    frame, bounds = _with_ends(frame, ends, grouped)
+    near = [F.col(c).between(low, high) for (c, _), (low, high) in zip(slots, bounds)]
     tagged = F.array(
-        *[F.struct(F.lit(i).alias("id"), s.bracketed().alias("v")) for i, s in ids.items()]
+        *[
+            F.struct(F.lit(i).alias("id"), F.when(near[i], F.col(column)).alias("v"))
+            for i, (column, _) in enumerate(slots)
+        ]
     )
+    key = ["id", "g"] if grouped else ["id"]
     counts = (
-        frame.select(F.explode(tagged).alias("t"))
-        .select("t.id", "t.v")
+        frame.where(reduce(or_, near))
+        .select(*key[1:], F.explode(tagged).alias("t"))
+        .select(*key[1:], "t.id", "t.v")
         .where(F.col("v").isNotNull())
-        .groupBy("id", "v")
+        .groupBy(*key, "v")
         .count()
     )
-    upto = F.sum("count").over(Window.partitionBy("id").orderBy("v"))
-    wanted = F.element_at(
-        F.create_map(*[F.lit(x) for i, s in ids.items() for x in (i, s.rank - s.below)]),
-        F.col("id"),
+    upto = F.sum("count").over(Window.partitionBy(*key).orderBy("v"))
+    members = {(i, s.group): s for i, found in enumerate(slots.values()) for s in found}
+    kind = frame.schema["g"].dataType.simpleString() if grouped else "string"
+    ranks = frame.sparkSession.createDataFrame(
+        [(i, g, s.ranks[0] - s.below, s.ranks[1] - s.below) for (i, g), s in members.items()],
+        f"id int, g {kind}, first long, last long",
     )
-    for row in (
-        counts.withColumn("upto", upto)
-        .where((F.col("upto") > wanted) & (F.col("upto") - F.col("count") <= wanted))
-        .select("id", "v")
-        .collect()  # one row per search
-    ):
-        ids[row["id"]].value = row["v"]
-
-
-def grouped_quantiles(
-    df: DataFrame,
-    by: Column,
-    groups: Sequence[str],
-    exprs: Mapping[str, Column],
-    probs: Sequence[float],
-    **options,
-) -> dict[tuple[str, str], list[float | None]]:
-    """Quantiles per (group, expression) for a bounded list of groups, no shuffle of rows."""
-    wanted = {(g, k): F.when(by == F.lit(g), e) for g in groups for k, e in exprs.items()}
-    named = {f"{i}": e for i, e in enumerate(wanted.values())}
-    got = exact_quantiles(df, named, probs, **options)
-    return {pair: got[f"{i}"] for i, pair in enumerate(wanted)}
+    hit = (F.col("upto") > F.col("first")) & (F.col("upto") - F.col("count") <= F.col("last"))
+    totals = counts.withColumn("upto", upto).join(F.broadcast(ranks.select(*key, "first", "last")), key)
+    for row in totals.where(hit).collect():  # at most two per search
+        s = members[row["id"], row["g"] if grouped else None]
+        for j, rank in enumerate((row["first"], row["last"])):
+            if row["upto"] - row["count"] <= rank < row["upto"]:
+                s.values[j] = row["v"]

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowlens.functions.quantiles import exact_quantiles, grouped_quantiles
+from flowlens.functions.quantiles import exact_quantiles
 from flowlens.functions.stats import clean_numeric, corrected_skewness, share
 
 
@@ -150,29 +150,37 @@ def box_stats(
 ) -> DataFrame:
     """Quartiles and whiskers per group and column, values through log1p by default.
 
-    Whiskers are the furthest values inside the fences. Groups are a bounded label set, so
-    everything is a conditional aggregate: one small row per task is all that is shuffled.
+    Whiskers are the furthest values inside the fences. Groups are a bounded label set; rows
+    combine map-side to one row per group, however large a group is.
     """
+    df = df.where(F.col(by).isin(list(groups)))
     vals = {}
     for c in columns:
         v = clean_numeric(df, c)
         vals[c] = F.when(v > -1, F.log1p(v)) if log else v
-    quart = grouped_quantiles(df, F.col(by), groups, vals, (0.25, 0.5, 0.75), **options)
-    parts = []
-    for i, ((g, c), (q1, q2, q3)) in enumerate(quart.items()):
-        low, high = _fences(q1, q3)
-        v = F.when(F.col(by) == F.lit(g), vals[c])
-        kept = F.when(~_outside(v, low, high), v)
-        number = lambda x: F.lit(x).cast("double")
-        parts.append(
+    got = exact_quantiles(df, vals, (0.25, 0.5, 0.75), F.col(by), groups, **options)
+
+    rows = []
+    for g in groups:
+        cells = [(*got[g, c], *_fences(got[g, c][0], got[g, c][2])) for c in columns]
+        rows.append((g, *[x for cell in cells for x in cell]))
+    parts = ("q1", "median", "q3", "low", "high")
+    names = [f"{part}{i} double" for i in range(len(cells)) for part in parts]
+    kind = df.schema[by].dataType.simpleString()
+    fences = df.sparkSession.createDataFrame(rows, ", ".join([f"`{by}` {kind}", *names]))
+
+    stats = []
+    for i, (c, v) in enumerate(vals.items()):
+        kept = F.when(v.between(F.col(f"low{i}"), F.col(f"high{i}")), v)
+        stats.append(
             F.struct(
-                F.lit(g).alias(by), F.lit(c).alias("column"), F.count(v).alias("n"),
-                number(q1).alias("q1"), number(q2).alias("median"), number(q3).alias("q3"),
+                F.lit(c).alias("column"), F.count(v).alias("n"),
+                *[F.first(f"{q}{i}").alias(q) for q in parts[:3]],
                 F.min(kept).alias("whisker_low"), F.max(kept).alias("whisker_high"),
             ).alias(f"s{i}")
         )
-    wide = df.agg(*parts)
-    return wide.select(F.inline(F.array(*wide.columns)))
+    wide = df.join(F.broadcast(fences), by).groupBy(by).agg(*stats)  # one fence row per group
+    return wide.select(by, F.inline(F.array(*[f"s{i}" for i in range(len(stats))])))
 
 
 def histogram(

@@ -7,44 +7,67 @@ from itertools import combinations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.functions.bounds import vocabulary
 from flowlens.functions.stats import clean_numeric, pearson
 
-# Up to this many columns, all pairs fit into one aggregate with null-aware expressions.
-PAIRWISE_COLUMNS = 12
+# Up to this many columns, the products of all pairs fit into one compiled aggregate.
+PRODUCT_COLUMNS = 16
+
+
+def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(a, b, r) for the given pairs: one pass for means, one for sums of centred products.
+
+    Centring first keeps the sums accurate. A constant column gives null. Pairs with a
+    column that has missing values are computed over the rows where both are present.
+    """
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    vals = {c: clean_numeric(df, c) for c in columns}
+    row = df.agg(
+        F.count("*"),
+        *[F.struct(F.count(v), F.avg(v), F.min(v), F.max(v)) for v in vals.values()],
+    ).first()
+    total, facts = row[0], dict(zip(columns, row[1:]))
+    flat = {c for c, (n, _, lo, hi) in facts.items() if n == 0 or lo == hi}
+    holes = {c for c, (n, *_) in facts.items() if n < total}
+    centred = {c: v - F.lit(facts[c][1]).cast("double") for c, v in vals.items()}
+    square = {c: F.sum(centred[c] * centred[c]) for c in columns}
+
+    def r(a: str, b: str) -> Column:
+        if a in flat or b in flat:
+            return F.lit(None).cast("double")
+        if a in holes or b in holes:
+            return pearson(vals[a], vals[b])
+        return F.sum(centred[a] * centred[b]) / F.sqrt(square[a] * square[b])
+
+    wide = df.agg(
+        *[
+            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r(a, b).alias("r")).alias(f"p{i}")
+            for i, (a, b) in enumerate(pairs)
+        ]
+    )
+    return wide.select(F.inline(F.array(*wide.columns)))
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, r) for every pair a before b in column order, from one pass over the rows.
+    """(a, b, r) for every pair a before b in column order.
 
-    Missing values drop out pair by pair. A wide table without missing values goes through
-    the one-pass covariance of ``Correlation``; a wide table with them is done in column
-    blocks of the pairwise form.
+    A wide table without missing values goes through the covariance of ``Correlation``; a
+    wide table with them is done in blocks of pairs.
     """
     columns = list(columns)
-    if len(columns) > PAIRWISE_COLUMNS:
+    pairs = list(combinations(columns, 2))
+    size = PRODUCT_COLUMNS * (PRODUCT_COLUMNS - 1) // 2
+    if len(pairs) > size:
         has_null = df.agg(
             *[F.count_if(clean_numeric(df, c).isNull()).alias(c) for c in columns]
         ).first()
         if not any(has_null):
             return _matrix_pairs(df, columns)
-    pairs = list(combinations(columns, 2))
-    size = PAIRWISE_COLUMNS * (PAIRWISE_COLUMNS - 1) // 2
-    blocks = [pairs[i : i + size] for i in range(0, len(pairs), size)]
     out = None
-    for block in blocks:
-        wide = df.agg(
-            *[
-                F.struct(
-                    F.lit(a).alias("a"), F.lit(b).alias("b"),
-                    pearson(clean_numeric(df, a), clean_numeric(df, b)).alias("r"),
-                ).alias(f"p{i}")
-                for i, (a, b) in enumerate(block)
-            ]
-        )
-        rows = wide.select(F.inline(F.array(*wide.columns)))
+    for i in range(0, len(pairs), size):
+        rows = correlations(df, pairs[i : i + size])
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -82,10 +105,10 @@ def label_correlation(
     df: DataFrame, columns: Sequence[str], y: str, k: int | None = 20
 ) -> DataFrame:
     """Absolute correlation with the label, largest first, constant columns last."""
-    target = clean_numeric(df, y)
-    wide = df.agg(*[F.abs(pearson(clean_numeric(df, c), target)).alias(c) for c in columns])
-    out = wide.unpivot([], list(columns), "column", "abs_r").orderBy(
-        F.desc_nulls_last("abs_r"), "column"
+    out = (
+        correlations(df, [(c, y) for c in columns])
+        .select(F.col("a").alias("column"), F.abs("r").alias("abs_r"))
+        .orderBy(F.desc_nulls_last("abs_r"), "column")
     )
     return out if k is None else out.limit(k)
 

@@ -208,13 +208,10 @@ def fit_boosting(df: DataFrame, validation: Column, **params) -> Fitted:
     """Boosted trees that stop when the validation error stops falling."""
     marked = df.withColumn("held_out", validation).select("features", "y", "held_out")
     with shared(marked):
-        est = get_model("gradient_boosting", **params)
-        est.setValidationIndicatorCol("held_out").setValidationTol(0.001)
-        model = train(est, marked)
+        stop = {"validationIndicatorCol": "held_out", "validationTol": 0.001}
+        model = train(get_model("gradient_boosting", **stop, **params), marked)
         sides = [
-            model.evaluateEachIteration(
-                marked.where(F.col("held_out") == held).withColumn("label", F.col("y"))
-            )
+            model.evaluateEachIteration(marked.where(F.col("held_out") == held))
             for held in (False, True)
         ]
     return Fitted(model, [(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(*sides))])

@@ -10,11 +10,11 @@ from functools import wraps
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from flowlens.functions.sampling import sample_rows
-from flowlens.operators import anomaly, attribution, clean, contributions, encode, evaluate, surrogate, training
+from flowlens.operators import anomaly, attribution, clean, contributions, encode, surrogate, training
 from flowlens.plans import marts
 from flowlens.plans.frames import EV_NUM, ev, table
-from flowlens.plans.registry import query, rounded
+from flowlens.plans.registry import query
+from flowlens.sources import spread
 
 _KEPT: dict[tuple, object] = {}
 
@@ -61,7 +61,7 @@ def _item_scaler(spark, sf):
 def item_vectors(spark, sf):
     rows, _ = _items(spark, sf)
     scaler = _item_scaler(spark, sf)
-    return encode.assemble(scaler.transform(rows), scaler.outputs()).select("row_id", "origin", "y", "features")
+    return encode.assemble(scaler.transform(spread(rows)), scaler.outputs()).select("row_id", "origin", "y", "features")
 
 
 def _item_fit(spark, sf, name, **params):
@@ -118,7 +118,7 @@ def model_comparison(spark, sf):
 
 
 def _vectors(spark, sf):
-    return table(spark, sf, "embeddings").select(
+    return spread(table(spark, sf, "embeddings")).select(
         F.col("vec_id").alias("row_id"), F.col("label").cast("double").alias("y"),
         array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
     )
@@ -191,7 +191,7 @@ def _event_scaler(spark, sf):
 
 def event_vectors(spark, sf):
     scaler = _event_scaler(spark, sf)
-    scaled = scaler.transform(ev(spark, sf))
+    scaled = scaler.transform(spread(ev(spark, sf)))
     return encode.assemble(scaled, scaler.outputs()).select(
         "row_id", "origin", F.col("binary_label").alias("y"), *scaler.outputs(), "features"
     )
@@ -235,9 +235,8 @@ def attribution_waterfall(spark, sf):
 
 @query("attribution_rank")
 def attribution_rank(spark, sf):
-    """Global rank over a 500-row sample, the size the global report asks for."""
-    sampled = sample_rows(event_vectors(spark, sf), 500)
-    parts = attribution.attribute(sampled, None, EV_NUM, boxes=event_boxes(spark, sf)["random_forest"])
+    """Global rank over all rows; the attribution job is distributed and needs no sample."""
+    parts = event_attributions(spark, sf, "random_forest")
     return contributions.global_rank(contributions.feature_stats(parts), 20)
 
 
@@ -263,8 +262,8 @@ def event_context(spark, sf):
 
 
 def _surrogates(spark, sf, labels=None):
-    """Rules for the 100 test rows of a seeded sample."""
-    rows = sample_rows(clean.part(event_vectors(spark, sf), "test"), 100)
+    """Rules for every test row."""
+    rows = clean.part(event_vectors(spark, sf), "test")
     model = event_models(spark, sf)["random_forest"]
     return surrogate.explain(rows, model, event_context(spark, sf), 5, labels, samples=500)
 
@@ -281,8 +280,8 @@ def rule_table(spark, sf):
 
 @query("attribution_vs_surrogate")
 def attribution_vs_surrogate(spark, sf):
-    """The strongest features of both methods side by side for every sampled row."""
-    rows = sample_rows(clean.part(event_vectors(spark, sf), "test"), 100)
+    """The strongest features of both methods side by side for every test row."""
+    rows = clean.part(event_vectors(spark, sf), "test")
     name = "random_forest"
     left = attribution.attribute(rows, None, EV_NUM, boxes=event_boxes(spark, sf)[name])
     rules = _surrogates(spark, sf, [1]).withColumn("feature", F.regexp_replace("feature", "^z_", ""))

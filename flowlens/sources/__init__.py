@@ -9,9 +9,9 @@ from flowlens.sources.flows import (
     write_csv,
     write_processed,
 )
-from flowlens.sources.state import Registry, load_table, save_table, shared
+from flowlens.sources.state import Registry, load_table, save_table, shared, spread
 
 __all__ = [
     "Registry", "load_split", "load_table", "read_processed_csv", "read_raw", "read_raw_pair",
-    "save_table", "shared", "with_row_id", "write_csv", "write_processed",
+    "save_table", "shared", "spread", "with_row_id", "write_csv", "write_processed",
 ]

@@ -59,3 +59,13 @@ def shared(*frames: DataFrame):
     finally:
         for f in frames:
             f.unpersist()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before work that is heavy per row.
+
+    Only acts on inputs with fewer partitions than cores, such as one small file; a table
+    with many files keeps its partitions and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
