@@ -74,7 +74,9 @@ def waterfall(df: DataFrame, k: int = 15, base: str = "base", items: str = "item
     Rank 1 is the strongest feature and ends at the score; each rank starts where the next
     one ends, the remaining features form one ``other`` step that starts at the base.
     """
-    order = ranked(F.col(items))
+    keep = [c for c in df.columns if c != items]
+    sorted_once = df.withColumn("__o", ranked(F.col(items)))  # own column: used several times below
+    order = F.col("__o")
     rest = F.slice(order, k, F.greatest(F.size(order) - k + 1, F.lit(0)))
     add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x["contribution"])
     other = F.struct(
@@ -82,8 +84,7 @@ def waterfall(df: DataFrame, k: int = 15, base: str = "base", items: str = "item
         add(rest).alias("contribution"),
     )
     steps = F.when(F.size(order) > k - 1, F.concat(F.slice(order, 1, k - 1), F.array(other)))
-    keep = [c for c in df.columns if c != items]
-    shown = df.withColumn("__s", F.coalesce(steps, order)).withColumn(
+    shown = sorted_once.withColumn("__s", F.coalesce(steps, order)).withColumn(
         "score", F.col(base) + add(F.col("__s"))
     )
     return shown.select(*keep, "score", "__s", F.posexplode("__s").alias("pos", "x")).select(
