@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowlens.functions.bounds import vocabularies
@@ -66,14 +66,15 @@ def label_encode(df: DataFrame, columns: Sequence[str], limit: int = 1000) -> Da
     )
 
 
-def fit_target(train: DataFrame, column: str, out: str = "y") -> StringIndexerModel:
+def fit_target(train: DataFrame, column: str, out: str = "y", limit: int = 1000) -> StringIndexerModel:
     """Target classes of the train split in sorted order; ``.labels`` names them.
 
-    Applying it to a class the train split does not have raises an error.
+    The class list is size checked. Applying it to a class outside it raises an error.
     """
-    return StringIndexer(
-        inputCol=column, outputCol=out, stringOrderType="alphabetAsc", handleInvalid="error"
-    ).fit(train)
+    return StringIndexerModel.from_labels(
+        [str(v) for v in vocabularies(train, [column], limit)[column]],
+        inputCol=column, outputCol=out, handleInvalid="error",
+    )
 
 
 @dataclass(frozen=True)

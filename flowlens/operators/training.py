@@ -21,24 +21,27 @@ from flowlens.functions.quantiles import exact_quantiles
 from flowlens.functions.scores import argmax, confidence, baseline_gap, baseline_side
 from flowlens.functions.stats import clean_numeric
 from flowlens.operators import evaluate
+from flowlens.session import require_checkpoint_dir
 from flowlens.sources.state import shared
 
 HIDDEN = [256, 128, 64]
 SEED = 42
 ALIASES = {"xgboost": "gradient_boosting"}
+# Memory for split statistics per task: more nodes per pass means fewer passes over the rows.
+TREE_MEMORY_MB = 1024
 
 
 def _forest(classes, rows, **p):
-    return RandomForestClassifier(**{"numTrees": 100, "maxDepth": 10, "seed": SEED, **p})
+    return RandomForestClassifier(**{"numTrees": 100, "maxDepth": 10, "seed": SEED, "maxMemoryInMB": TREE_MEMORY_MB, **p})
 
 
 def _boosting(classes, rows, **p):
-    one = GBTClassifier(**{"maxIter": 100, "seed": SEED, **p})
+    one = GBTClassifier(**{"maxIter": 100, "seed": SEED, "maxMemoryInMB": TREE_MEMORY_MB, **p})
     return one if classes == 2 else OneVsRest(classifier=one)
 
 
 def _tree(classes, rows, **p):
-    return DecisionTreeClassifier(**{"maxDepth": 20, "seed": SEED, **p})
+    return DecisionTreeClassifier(**{"maxDepth": 20, "seed": SEED, "maxMemoryInMB": TREE_MEMORY_MB, **p})
 
 
 def _logistic(classes, rows, **p):
@@ -81,7 +84,11 @@ def train_all(
     params: dict[str, dict] | None = None,
     parallelism: int = 1,
 ) -> dict[str, object]:
-    """Several models on the same kept feature rows, optionally as concurrent Spark jobs."""
+    """Several models on the same kept feature rows, optionally as concurrent Spark jobs.
+
+    Boosting rounds build on one another; the checkpoint folder cuts their lineage.
+    """
+    require_checkpoint_dir(df.sparkSession)
     slim = df.select("features", "y")
     with shared(slim):
         rows = slim.count()
@@ -206,6 +213,7 @@ def fit_mlp(
 
 def fit_boosting(df: DataFrame, validation: Column, **params) -> Fitted:
     """Boosted trees that stop when the validation error stops falling."""
+    require_checkpoint_dir(df.sparkSession)
     marked = df.withColumn("held_out", validation).select("features", "y", "held_out")
     with shared(marked):
         stop = {"validationIndicatorCol": "held_out", "validationTol": 0.001}
