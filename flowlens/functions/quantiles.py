@@ -1,11 +1,12 @@
 """Exact linear quantiles whose memory need does not grow with the table.
 
 Spark's ``percentile`` keeps one map entry per distinct value and merges them in one task.
-Here a mergeable sketch (``percentile_approx``) names two values around the wanted ranks and
-a counting scan tells how many rows lie below, on and between them. A frequent value is
-usually named by both ends, which settles the quantile at once; otherwise the step repeats
-strictly between the ends until few rows are left, and those are ranked. Every column and
-group shares each scan, and only scalars reach the driver.
+Here a small mergeable sketch names two values around the wanted ranks and a counting scan
+tells how many rows lie below, on and between them. A frequent value is usually named by
+both ends, which settles the quantile at once; otherwise the step repeats strictly between
+the ends until few rows are left, and those are ranked. The sketch only proposes: the counts
+decide, so the result is exact. Sketches meet in two levels, never all in one task. Every
+column and group shares each scan, and only scalars reach the driver.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-ACCURACY = 10_000
-RANKED_ROWS = 100_000
+SKETCH_SIZE = 2000
+RANKED_ROWS = 1_000_000
+MERGE_TASKS = 512
 
 
 @dataclass
@@ -57,6 +59,10 @@ class _Search:
     def open(self) -> bool:
         return None in self.values
 
+    def between(self, at: float) -> float:
+        lo, hi = self.values
+        return lo if lo == hi else lo + (hi - lo) * (at - self.ranks[0])
+
 
 def exact_quantiles(
     df: DataFrame,
@@ -64,42 +70,75 @@ def exact_quantiles(
     probs: Sequence[float],
     by: Column | None = None,
     groups: Sequence | None = None,
-    accuracy: int = ACCURACY,
+    sketch_size: int = SKETCH_SIZE,
     ranked_rows: int = RANKED_ROWS,
 ) -> dict:
     """Quantiles of several numeric expressions, all of them sharing each scan.
 
-    Nulls are ignored; an expression without values gives nulls. With ``by``, the result is
+    Nulls and NaN are ignored; an expression without values gives nulls. With ``by``, the result is
     keyed by (group, name) for the given, bounded list of groups, else by name.
     """
     keys = list(exprs)
-    cols = [f"v{i}" for i in range(len(keys))]
     if not keys:
         return {}
-    values = [exprs[k].cast("double").alias(c) for k, c in zip(keys, cols)]
+    values = []
+    for i, k in enumerate(keys):
+        v = exprs[k].cast("double")
+        values.append(F.when(~F.isnan(v), v).alias(f"v{i}"))
     if by is None:
-        frame, key = df.select(*values), []
+        frame = df.select(*values)
     else:
-        frame, key = df.where(by.isin(list(groups))).select(by.alias("g"), *values), ["g"]
-    margin = 3.0 / accuracy
-    ends = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
-    points = F.array(*[F.lit(e) for e in ends])
-    first = frame.groupBy(*key).agg(
-        *[F.count(c).alias(f"n_{c}") for c in cols],
-        *[F.percentile_approx(c, points, accuracy).alias(f"b_{c}") for c in cols],
+        frame = df.where(by.isin(list(groups))).select(by.alias("g"), *values)
+    found = _search(frame, probs, sketch_size, ranked_rows)
+    empty = [None] * len(probs)
+    if by is None:
+        return {k: found.get((None, f"v{i}"), empty) for i, k in enumerate(keys)}
+    return {(g, k): found.get((g, f"v{i}"), empty) for g in groups for i, k in enumerate(keys)}
+
+
+def _sketched(frame: DataFrame, key: list[str], exprs: dict[str, Column], ends: dict, size: int):
+    """Per group: row count ``n_`` and proposed values ``b_`` at the given ranks of each expression."""
+    parts = (
+        frame.select(*key, (F.spark_partition_id() % MERGE_TASKS).alias("salt"),
+                     *[e.alias(c) for c, e in exprs.items()])
+        .groupBy(*key, "salt")
+        .agg(
+            *[F.count(c).alias(f"n_{c}") for c in exprs],
+            *[F.kll_sketch_agg_double(c, F.lit(size)).alias(f"s_{c}") for c in exprs],
+        )
+    )
+    whole = parts.groupBy(*key).agg(
+        *[F.sum(f"n_{c}").alias(f"n_{c}") for c in exprs],
+        *[F.kll_merge_agg_double(f"s_{c}", F.lit(size)).alias(f"s_{c}") for c in exprs],
+    )
+    at = lambda c: F.kll_sketch_get_quantile_double(
+        f"s_{c}", F.array(*[F.lit(float(e)) for e in ends[c]])
+    )
+    return whole.select(
+        *key,
+        *[f"n_{c}" for c in exprs],
+        *[F.when(F.col(f"n_{c}") > 0, at(c)).alias(f"b_{c}") for c in exprs],
     ).collect()  # one row per group
+
+
+def _search(frame: DataFrame, probs: Sequence[float], size: int, ranked_rows: int) -> dict:
+    """Quantiles per (group, column); pairs without values are absent."""
+    key = [c for c in frame.columns if c == "g"]
+    cols = [c for c in frame.columns if c != "g"]
+    margin = 2.3 / size**0.9  # about the sketch's rank error; a miss is counted and widened
+    ends = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
+    first = _sketched(frame, key, {c: F.col(c) for c in cols}, {c: ends for c in cols}, size)
     searches, proposals = {}, []
     for row in first:
         g = row["g"] if key else None
         for c in cols:
             n = row[f"n_{c}"]
-            for i, p in enumerate(probs):
-                if n:
-                    pos = p * (n - 1)
-                    s = _Search(c, g, i, (math.floor(pos), math.ceil(pos)), n, margin)
-                    searches[g, c, p] = s
-                    proposals.append((s, *row[f"b_{c}"][2 * i : 2 * i + 2]))
-    todo = list(searches.values())
+            for i, p in enumerate(probs if n else ()):
+                at = p * (n - 1)
+                s = _Search(c, g, i, (math.floor(at), math.ceil(at)), n, margin)
+                searches.setdefault((g, c), []).append((s, at))
+                proposals.append((s, *row[f"b_{c}"][2 * i : 2 * i + 2]))
+    todo = [s for s, _, _ in proposals]
     while todo:
         _count(frame, proposals)
         todo = [s for s in todo if s.open()]
@@ -107,34 +146,22 @@ def exact_quantiles(
         if few:
             _rank(frame, few)
             todo = [s for s in todo if s.open()]
-        proposals = _propose(frame, todo, accuracy) if todo else []
+        proposals = _propose(frame, todo, size) if todo else []
+    return {pair: [s.between(at) for s, at in members] for pair, members in searches.items()}
 
-    def value(g, c, p):
-        s = searches.get((g, c, p))
-        if s is None:
-            return None
-        lo, hi = s.values
-        return lo + (hi - lo) * (p * (s_rows[g, c] - 1) - s.ranks[0])
 
-    s_rows = {(r["g"] if key else None, c): r[f"n_{c}"] for r in first for c in cols}
-    if by is None:
-        return {k: [value(None, c, p) for p in probs] for k, c in zip(keys, cols)}
-    return {(g, k): [value(g, c, p) for p in probs] for g in groups for k, c in zip(keys, cols)}
-
-
-def _propose(frame: DataFrame, searches: list[_Search], accuracy: int) -> list[tuple]:
+def _propose(frame: DataFrame, searches: list[_Search], size: int) -> list[tuple]:
     """A smaller bracket for each search; searches in the same bracket share one sketch."""
     shared: dict[tuple, list[_Search]] = {}
     for s in searches:
         shared.setdefault(s.bracket(), []).append(s)
-    ask = []
-    for i, members in enumerate(shared.values()):
-        points = F.array(*[F.lit(e) for s in members for e in s.ends()])
-        ask.append(F.percentile_approx(members[0].bracketed(), points, accuracy).alias(f"b{i}"))
-    row = frame.agg(*ask).first()
+    named = {f"q{i}": members for i, members in enumerate(shared.values())}
+    exprs = {q: members[0].bracketed() for q, members in named.items()}
+    ends = {q: [e for s in members for e in s.ends()] for q, members in named.items()}
+    row = _sketched(frame, [], exprs, ends, size)[0]
     return [
-        (s, row[i][2 * j], row[i][2 * j + 1])
-        for i, members in enumerate(shared.values())
+        (s, row[f"b_{q}"][2 * j], row[f"b_{q}"][2 * j + 1])
+        for q, members in named.items()
         for j, s in enumerate(members)
     ]
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 def clean_numeric(df: DataFrame, name: str) -> Column:
     """Column as double with NaN turned into null, so it is ignored as a missing value."""
-    c = F.col(name).cast("double")
+    c = F.col(f"`{name}`").cast("double")
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
         return F.when(~F.isnan(c), c)
     return c

@@ -9,6 +9,7 @@ from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowlens.functions.bounds import vocabularies
+from flowlens.functions.stats import clean_numeric
 from flowlens.sources.state import load_table, save_table
 
 
@@ -87,8 +88,8 @@ class Standardizer:
     def fit(cls, train: DataFrame, columns: Sequence[str]) -> Standardizer:
         row = train.agg(
             *[
-                F.struct(F.avg(f"`{c}`"), F.stddev_pop(f"`{c}`")).alias(f"s{i}")
-                for i, c in enumerate(columns)
+                F.struct(F.avg(v), F.stddev_pop(v)).alias(f"s{i}")
+                for i, v in enumerate(clean_numeric(train, c) for c in columns)
             ]
         ).first()
         return cls({c: (row[i][0], row[i][1] or 1.0) for i, c in enumerate(columns)})

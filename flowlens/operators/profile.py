@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.functions.quantiles import exact_quantiles
 from flowlens.functions.stats import clean_numeric, corrected_skewness, share
@@ -25,11 +25,10 @@ def frequencies(df: DataFrame, column: str) -> DataFrame:
 
 
 def class_share(df: DataFrame, column: str) -> DataFrame:
-    """Value counts with their share of the total; the window runs over one row per value."""
-    total = F.sum("n").over(Window.partitionBy())
-    return frequencies(df, column).withColumn(
-        "share_pct", F.bround(F.try_divide(F.col("n") * 100.0, total), 1)
-    )
+    """Value counts with their share of the total, which is a one-row subquery."""
+    counts = frequencies(df, column)
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.withColumn("share_pct", F.bround(F.try_divide(F.col("n") * 100.0, total), 1))
 
 
 def imbalance(df: DataFrame, y: str = "binary_label") -> DataFrame:

@@ -14,7 +14,7 @@ def frame(spark, columns, parts=4):
     return spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns)).repartition(parts)
 
 
-@pytest.mark.parametrize("options", [{}, {"accuracy": 20, "ranked_rows": 5}, {"accuracy": 100, "ranked_rows": 50}])
+@pytest.mark.parametrize("options", [{}, {"sketch_size": 64, "ranked_rows": 20}, {"sketch_size": 200, "ranked_rows": 100}])
 def test_matches_numpy(spark, options):
     """Small sketches and brackets force the repeated narrowing a large table would see."""
     rng = np.random.default_rng(3)
@@ -35,7 +35,8 @@ def test_matches_numpy(spark, options):
 
 def test_groups_nulls_and_empty(spark):
     df = spark.createDataFrame(
-        [("a", 1.0, None), ("a", 2.0, None), ("a", None, None), ("b", 10.0, None), ("c", 5.0, None)],
+        [("a", 1.0, None), ("a", 2.0, None), ("a", None, None), ("b", 10.0, None), ("c", 5.0, None),
+         ("b", float("nan"), None)],
         "g string, x double, e double",
     )
     got = exact_quantiles(df, {"x": F.col("x"), "e": F.col("e")}, (0.5,), F.col("g"), ["a", "b", "z"])
@@ -49,6 +50,6 @@ def test_groups_nulls_and_empty(spark):
 @given(st.lists(st.sampled_from([0.0, 1.0, -3.5, 2.25, 1e9, 7.0, 8.0]) | st.floats(-1e6, 1e6), min_size=1, max_size=60))
 def test_any_values(spark, values):
     got = exact_quantiles(
-        frame(spark, {"v": values}, 3), {"v": F.col("v")}, PROBS, accuracy=10, ranked_rows=2
+        frame(spark, {"v": values}, 3), {"v": F.col("v")}, PROBS, sketch_size=8, ranked_rows=2
     )
     assert np.allclose(got["v"], np.quantile(np.array(values), PROBS), rtol=1e-12, atol=1e-9)
