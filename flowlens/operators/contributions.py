@@ -3,6 +3,8 @@
 A row's contributions travel as one array of (feature, value, contribution) next to its
 ``row_id``. Per-row reports (top k, waterfall, pairing) sort inside that array and need no
 shuffle; only per-feature reports aggregate, and those combine map-side to one row per feature.
+Arrays are unpacked with the outer generators: the inner ones make the optimizer add a size
+filter below, which would sort every array a second time.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ def pack(values: Mapping[str, tuple[Column, Column]]) -> Column:
 
 def to_long(df: DataFrame, items: str = "items") -> DataFrame:
     keep = [c for c in df.columns if c != items]
-    return df.select(*keep, F.inline(items))
+    return df.select(*keep, F.inline_outer(items)).where(F.col("feature").isNotNull())
 
 
 def ranked(items: Column) -> Column:
@@ -55,11 +57,17 @@ def _top(df: DataFrame, k: int, items: str) -> DataFrame:
     return df.withColumn("__top", F.slice(ranked(F.col(items)), 1, k)).drop(items)
 
 
+def _unpack(df: DataFrame, array: str, keep: list[str]) -> DataFrame:
+    """(keep, pos, x) for every element of an array column."""
+    out = df.select(*keep, F.posexplode_outer(array).alias("pos", "x"))
+    return out.where(F.col("pos").isNotNull())
+
+
 def topk(df: DataFrame, k: int = 12, items: str = "items") -> DataFrame:
     """The k strongest features of every row with rank, four-digit value and direction."""
     top = _top(df, k, items)
     keep = [c for c in top.columns if c != "__top"]
-    return top.select(*keep, F.posexplode("__top").alias("pos", "x")).select(
+    return _unpack(top, "__top", keep).select(
         *keep,
         (F.col("pos") + 1).alias("rank"),
         F.col("x.feature").alias("feature"),
@@ -87,7 +95,7 @@ def waterfall(df: DataFrame, k: int = 15, base: str = "base", items: str = "item
     shown = sorted_once.withColumn("__s", F.coalesce(steps, order)).withColumn(
         "score", F.col(base) + add(F.col("__s"))
     )
-    return shown.select(*keep, "score", "__s", F.posexplode("__s").alias("pos", "x")).select(
+    return _unpack(shown, "__s", [*keep, "score", "__s"]).select(
         *keep,
         "score",
         (F.col("pos") + 1).alias("rank"),
@@ -101,7 +109,7 @@ def feature_stats(df: DataFrame, items: str = "items", by: tuple[str, ...] = ())
     """mean, max and population std of |contribution| per feature."""
     a = F.abs(F.col("contribution"))
     return (
-        df.select(*by, F.inline(items))
+        to_long(df.select(*by, items), items)
         .groupBy(*by, "feature")
         .agg(F.avg(a).alias("mean_abs"), F.max(a).alias("max_abs"), F.stddev_pop(a).alias("std_abs"))
     )
@@ -153,12 +161,12 @@ def pair_ranks(
     zipped = F.arrays_zip(
         F.coalesce("left_f", empty).alias("l"), F.coalesce("right_f", empty).alias("r")
     )
-    return both.select(row_id, F.posexplode(zipped).alias("pos", "z")).select(
+    return _unpack(both.withColumn("__z", zipped), "__z", [row_id]).select(
         row_id,
         (F.col("pos") + 1).alias("rank"),
-        F.col("z.l").alias("left_feature"),
-        F.col("z.r").alias("right_feature"),
-        F.coalesce(F.col("z.l") == F.col("z.r"), F.lit(False)).alias("matches"),
+        F.col("x.l").alias("left_feature"),
+        F.col("x.r").alias("right_feature"),
+        F.coalesce(F.col("x.l") == F.col("x.r"), F.lit(False)).alias("matches"),
     )
 
 

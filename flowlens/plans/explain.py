@@ -9,6 +9,7 @@ from flowlens.operators import clean, contributions, encode
 from flowlens.operators.surrogate import Context
 from flowlens.plans.frames import EV, EV_NUM, ev, union_columns
 from flowlens.plans.registry import query, rounded
+from flowlens.sources import spread
 
 # fixed multipliers of the second explanation list
 TWIST = {"value": 0.5, "user_id": 1.5, "k": 1.0, "log_value": 0.8, "hour": 1.2}
@@ -33,7 +34,7 @@ def contribution_rows(spark, sf, weights=None):
     items = contributions.pack(
         {c: (F.col(c), F.col(f"z_{c}") * F.lit(weights[c])) for c in EV_NUM}
     )
-    return scaler.transform(rows).select("row_id", "binary_label", base.alias("base"), items.alias("items"))
+    return scaler.transform(spread(rows)).select("row_id", "binary_label", base.alias("base"), items.alias("items"))
 
 
 @query("topk_contribution", f"""WITH {CON}
