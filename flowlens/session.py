@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def local_session(cores: int | str = "*", app: str = "flowlens", shuffle: int = 8) -> SparkSession:
     """Session for one machine. On a cluster, submit with the cluster's own settings."""
@@ -41,3 +45,17 @@ def require_checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="flowlens-checkpoint-")
     sc.setCheckpointDir(named)
     return named
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application.
+
+    Spark hands the archive to every executor. Nothing is done where the package already
+    came as an archive, as with ``--py-files``.
+    """
+    sc, here = spark.sparkContext, Path(__file__).resolve().parent
+    if sc.applicationId in _SHIPPED or not here.is_dir():
+        return
+    folder = tempfile.mkdtemp(prefix="flowlens-code-")
+    sc.addPyFile(shutil.make_archive(f"{folder}/{here.name}", "zip", here.parent, here.name))
+    _SHIPPED.add(sc.applicationId)
