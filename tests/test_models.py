@@ -25,7 +25,7 @@ def rows(spark):
     ).repartition(4).cache()
 
 
-def test_registry():
+def test_registry(spark):
     with pytest.raises(ValueError, match="random_forest"):
         training.get_model("nothing")
     assert training.get_model("random_forest").getNumTrees() == 100
