@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,6 +15,7 @@ SPACE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITMAP_BITS = 1 << 22  # broadcast as at most 65,536 rows of two longs: 1 MB
 HEAVY = 1000
+_TABLES: list[tuple[SparkSession, str]] = []
 
 
 def text_or_empty(column: str | Column = "text") -> Column:
@@ -26,9 +28,23 @@ def ascii_lower(c: Column) -> Column:
 
 
 def kept_table(df: DataFrame) -> DataFrame:
-    """The rows, written to the cluster's checkpoint folder; cuts the lineage."""
-    require_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows, written to the cluster's checkpoint folder and read from there; cuts the lineage.
+
+    A written table also has its true size. What checkpoint() returns carries the planner's
+    estimate on, and in loops of joins that number gets twice as long every round.
+    """
+    path = f"{require_checkpoint_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    _TABLES.append((df.sparkSession, path))
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release_tables() -> None:
+    """Deletes the tables kept so far; for callers that have written what was made from them."""
+    while _TABLES:
+        spark, path = _TABLES.pop()
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def with_python(spark: SparkSession) -> None:
@@ -40,7 +56,7 @@ def extended(df: DataFrame, *more: tuple[str, str]) -> StructType:
     """The frame's schema and some columns (name, type) behind it."""
     schema = StructType(list(df.schema.fields))
     for name, kind in more:
-        schema = schema.add(name, kind)
+        schema = schema.add(name, StructType.fromDDL(f"x {kind}")[0].dataType)
     return schema
 
 
@@ -90,8 +106,10 @@ def possible_member(df: DataFrame, key: str, members: DataFrame, flag: str) -> D
     )
 
 
-def lookup(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, total: int) -> DataFrame:
-    """Inner join of rows with one row per group, where a group may hold any share of the rows.
+def lookup(
+    rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, total: int, how: str = "inner"
+) -> DataFrame:
+    """Inner or left join of rows with one row per group, where a group may hold any share of the rows.
 
     Groups of more than one row in HEAVY are at most HEAVY many: those are broadcast. In the
     shuffled join of the others no key holds more than that share of the rows.
@@ -103,5 +121,5 @@ def lookup(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, t
         F.broadcast(heavy.select(*keys, F.lit(True).alias("_heavy"))), keys, "left"
     )
     big = rows.join(F.broadcast(heavy), keys)
-    small = marked.where(F.col("_heavy").isNull()).drop("_heavy").join(light, keys)
+    small = marked.where(F.col("_heavy").isNull()).drop("_heavy").join(light, keys, how)
     return big.unionByName(small)

@@ -1,0 +1,243 @@
+"""Quality rules: fixed limits, then robust outliers among documents of a language and source.
+
+The verdict uses minimum-covariance-determinant estimates. Each document gives a vector of
+transformed statistics; per (language, source) the centre and covariance of the half of the
+documents that lies closest to them is sought by concentration steps: distances under the last
+estimate, the half with the smallest, its mean and covariance, until both stay. A document is
+rejected by its Mahalanobis distance under the result.
+
+All documents take part. A step is one aggregate over a slim table (one short row per document):
+distances are counted in fine logarithmic bins, so the half's limit is a count and no task sorts
+or holds a group, and the sums of the half combine before their shuffle. Groups stay rows of a
+table; their small matrices are inverted where they lie.
+
+A group of fewer than SMALLEST documents is judged by its language's estimate, and such a
+language by that of all. Copies may fill half of a group and would shrink its covariance to
+a point; FLOOR, a least spread per statistic, keeps ordinary texts inside.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+
+from flowlens.llm.common import extended, kept_table, lookup, numbered, with_python
+
+MIN_WORDS, MAX_REPEATED = 20, 30  # words; per cent of words in repeated windows
+WINDOW = 8
+SYMBOLS = "#*$%&|<>"
+BLANKS = " \t\n\x0b\x0c\r"
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+STATS = ["symbols", "dup_lines", "repeats", "word_length", "variety"]
+FLOOR = [0.15, 0.15, 0.15, 0.12, 0.12]
+CUTOFF = 3.5  # distance beyond which a document goes
+SMALLEST = 200
+STEPS = 5
+BINS_PER_OCTAVE = 16
+
+
+def repeated_words(words: list[bytes]) -> int:
+    """Words inside windows of eight words that occur twice or more, exactly.
+
+    Windows are numbered by doubling: pairs of words, pairs of pairs, pairs of those.
+    """
+    if len(words) <= WINDOW:
+        return 0
+    number: dict[bytes, int] = {}
+    code = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    if len(number) == len(words):
+        return 0
+    span = 1
+    while span < WINDOW:
+        pair = code[:-span] * np.int64(len(words)) + code[span:]
+        _, code = np.unique(pair, return_inverse=True)
+        span *= 2
+    again = np.bincount(code)[code] > 1
+    if not again.any():
+        return 0
+    edge = np.zeros(len(words) + 1, np.int64)
+    edge[:-WINDOW][again] += 1
+    edge[WINDOW:][again] -= 1
+    return int((np.cumsum(edge) > 0).sum())
+
+
+def base_counts(text: str) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text."""
+    words = text.encode().split()  # splits at just the six ASCII blanks
+    lines = [x for x in text.split("\n") if x.strip(BLANKS)]
+    return (
+        len(words), len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)),
+        len(lines) - len(set(lines)), repeated_words(words),
+    )
+
+
+def statistics(docs: DataFrame, text: str) -> DataFrame:
+    """Adds the base counts and the number of distinct words and of lines with a word."""
+    with_python(docs.sparkSession)
+    schema = extended(docs, *[(n, "long") for n in [*BASE, "n_distinct", "n_lines"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for value in batch.column(batch.schema.get_field_index(text)):
+                t = value.as_py() or ""
+                lines = sum(1 for x in t.split("\n") if x.strip(BLANKS))
+                rows.append((*base_counts(t), len(set(t.encode().split())), lines))
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 7
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _vector() -> list[Column]:
+    """Statistics on scales where ordinary texts of any length spread alike; small counts are drawn in."""
+    c = {n: F.col(n).cast("double") for n in [*BASE, "n_distinct", "n_lines"]}
+    ratio = lambda part, whole, prior: F.sqrt((part + 1.0) / (whole + prior))
+    return [
+        ratio(c["n_symbols"], c["n_words"], 50.0),
+        ratio(c["n_dup_lines"], c["n_lines"], 10.0),
+        ratio(c["n_repeat_words"], c["n_words"], 50.0),
+        F.log((c["word_chars"] + 100.0) / (c["n_words"] + 20.0)),
+        # distinct words fall as a power of the length; this is that power, drawn to 1 when short
+        F.log((c["n_distinct"] + 20.0) / (c["n_words"] + 20.0)) / F.log(c["n_words"] + 40.0),
+    ]
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
+
+
+def _estimates(sums: DataFrame) -> DataFrame:
+    """Adds ``model`` (centre and inverse covariance, rounded so that reruns agree) to rows of sums."""
+    d = len(STATS)
+    schema = extended(sums.select("g"), ("model", "array<double>"))
+    floor = np.diag(np.square(FLOOR))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
+            models = []
+            for n, s1, s2 in zip(at["n"].to_pylist(), at["s1"].to_pylist(), at["s2"].to_pylist()):
+                mean = np.array(s1) / n
+                cov = np.zeros((d, d))
+                cov[np.triu_indices(d)] = np.array(s2) / n
+                cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
+                inverse = np.linalg.inv(cov + floor)
+                models.append(np.round([*mean, *inverse[np.triu_indices(d)]], 7).tolist())
+            yield pa.RecordBatch.from_arrays([at["g"], pa.array(models, pa.list_(pa.float64()))], schema.names)
+
+    return sums.mapInArrow(run, schema)
+
+
+def _distance2(model: str = "model") -> Column:
+    """Squared Mahalanobis distance of the row's v under the model."""
+    d, total, at = len(STATS), F.lit(0.0), len(STATS)
+    diff = [F.col("v")[i] - F.col(model)[i] for i in range(d)]
+    for i in range(d):
+        for j in range(i, d):
+            total = total + diff[i] * diff[j] * F.col(model)[at] * (1.0 if i == j else 2.0)
+            at += 1
+    return total
+
+
+def _sums(rows: DataFrame, *, where: Column | None = None) -> DataFrame:
+    """Per group g the number, sums and sums of products of v, over all rows or those that fit."""
+    d = len(STATS)
+    chosen = rows if where is None else rows.where(where)
+    v = [F.col("v")[i] for i in range(d)]
+    return chosen.groupBy("g").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(x) for x in v]).alias("s1"),
+        F.array(*[F.sum(v[i] * v[j]) for i in range(d) for j in range(i, d)]).alias("s2"),
+    )
+
+
+def _named(*columns: str) -> Column:
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows with their group g: language and source, where those have SMALLEST documents; else
+    all rows of such sources in the language; where those are too few, all such rows."""
+    rows = rows.withColumn("g", F.col("pair"))
+    for wider in (_named("lang"), F.lit("all")):
+        sizes = kept_table(rows.groupBy("g").agg(F.count(F.lit(1)).alias("size")))
+        rows = _joined(rows, sizes).withColumn("g", F.when(F.col("size") >= SMALLEST, F.col("g")).otherwise(wider)).drop("size")
+    return kept_table(rows)
+
+
+def _joined(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows with their group's facts; groups that hold many rows are broadcast, at most HEAVY of them."""
+    total = groups.agg(F.sum("size")).first()[0] or 0
+    return lookup(rows, groups, ["g"], "size", total)
+
+
+def fit(rows: DataFrame) -> DataFrame:
+    """(g, size, model) for every group of rows (g, v)."""
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+    groups = kept_table(_estimates(_sums(rows)).join(sizes, "g"))
+    for _ in range(STEPS):
+        bins = F.floor(F.log2(_distance2() + 1e-6) * BINS_PER_OCTAVE).cast("int")
+        placed = _joined(rows, groups).withColumn("bin", bins).select("g", "v", "bin", "size")
+        counts = placed.groupBy("g", "size", "bin").agg(F.count(F.lit(1)).alias("n"))
+        limits = counts.groupBy("g", "size").agg(F.collect_list(F.struct("bin", "n")).alias("bins"))
+        limits = kept_table(limits.select("g", "size", F.expr(
+            "aggregate(array_sort(bins), struct(0L as seen, cast(null as int) as lim), (a, x) -> struct(a.seen + x.n as seen, "
+            "case when a.lim is null and 2 * (a.seen + x.n) >= size then x.bin else a.lim end as lim)).lim"
+        ).alias("half")).join(groups.select("g", "model"), "g"))
+        closest = _joined(rows, limits).withColumn("bin", bins)
+        new = kept_table(_estimates(_sums(closest, where=F.col("bin") <= F.col("half"))).join(limits.select("g", "size", F.col("model").alias("was")), "g"))
+        moved = new.where(F.exists(F.arrays_zip("model", "was"), lambda p: F.abs(p["model"] - p["was"]) > 1e-4 * (1 + F.abs(p["was"])))).limit(1).count()
+        groups = new.select("g", "size", "model")
+        if not moved:
+            break
+    return groups
+
+
+def decisions(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source"
+) -> DataFrame:
+    """One row per input row: doc_id, the base counts, base_failed, kept, distance.
+
+    Words are runs without ASCII white space; a null text has none. A text with fewer than
+    MIN_WORDS words, or more than MAX_REPEATED per cent of them in repeated windows, fails; any
+    other is kept unless its distance exceeds CUTOFF. Null languages and sources are values of
+    their own. Repeated rows are judged each; an empty table gives an empty table.
+    """
+    named = docs.select(*[F.col(c).alias(n) for c, n in ((doc_id, "id"), (text, "text"), (lang, "lang"), (source, "source"))])
+    rows, groups = _fitted(named)
+    judged = _verdict(_joined(rows, groups))
+    return judged.select(F.col("id").alias("doc_id"), *BASE, "base_failed", "kept", "distance")
+
+
+def _described(docs: DataFrame) -> DataFrame:
+    """Rows with text, lang, source as base counts, base_failed, pair and v."""
+    rows = statistics(docs, "text").withColumn("v", F.array(*_vector())).drop("n_distinct", "n_lines")
+    return rows.withColumn("base_failed", base_failed()).withColumn("pair", _named("lang", "source"))
+
+
+def _fitted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Slim rows with their group, and the groups' estimates."""
+    rows = _placed(kept_table(_described(docs).drop("text")))
+    return rows, fit(rows.select("g", "v"))
+
+
+def _verdict(rows: DataFrame) -> DataFrame:
+    far = F.sqrt(F.greatest(_distance2(), F.lit(0.0)))
+    rows = rows.withColumn("distance", far)
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= CUTOFF))
+
+
+def keep(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows that stay, with the caller's columns. Texts are described again and judged by the
+    estimate of their language and source, so no verdict has to be joined to a text."""
+    plain, at = numbered(docs)
+    named = plain.select("*", F.col(at[text]).alias("text"), F.col(at[lang]).alias("lang"), F.col(at[source]).alias("source"))
+    rows, groups = _fitted(named.select("text", "lang", "source"))
+    pairs = rows.groupBy("pair").agg(F.min("g").alias("g"), F.count(F.lit(1)).alias("n"))
+    pairs = kept_table(_joined(pairs, groups).drop("size"))
+    total = pairs.agg(F.sum("n")).first()[0] or 0
+    judged = _verdict(lookup(_described(named), pairs, ["pair"], "n", total))
+    return judged.where("kept").select(*plain.columns).toDF(*docs.columns)

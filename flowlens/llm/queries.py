@@ -50,3 +50,143 @@ def op10_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     return near.decisions(docs, words=3, percent=85)
+
+
+@_query
+def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    from flowlens.llm import quality
+
+    docs = _table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    return quality.decisions(docs)
+
+
+@_query
+def op6_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    from flowlens.llm import chat
+
+    rows = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit(r"\### Assistant: </turn> ok")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"),
+    )
+    return chat.read_back(chat.examples(rows.unionByName(extra)))
+
+
+@_query
+def op8_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    from flowlens.llm import pii
+
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return pii.digest(pii.scan(docs), "pii_base", "pii_spans", pii.BASE)
+
+
+@_query
+def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    from flowlens.llm import pii, secret_scan
+
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return pii.digest(secret_scan.scan(docs), "secret_base", "secret_spans", secret_scan.BASE)
+
+
+@_query
+def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    from flowlens.llm import licenses
+
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return licenses.scan(docs).drop("text", "detections")
+
+
+@_query
+def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
+    import uuid
+
+    from flowlens.llm import warc
+    from flowlens.session import require_checkpoint_dir
+
+    pages = _table(spark, sf, "pages").select("page_id", "url", "html")
+    out = f"{require_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(pages, out)
+    back = warc.read(spark, out, payloads=False)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op1_mix_sources"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         [5, 2, 1][CAST((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS weight
+  FROM w GROUP BY source),
+total AS (SELECT CAST(1.5 AS DOUBLE) * sum(source_size) AS budget FROM s),
+rounds AS (
+  SELECT 0 AS i, CAST(NULL AS DOUBLE) AS share
+  UNION ALL
+  SELECT i + 1, (
+    SELECT ((SELECT budget FROM total) - CAST(coalesce(sum(2 * source_size) FILTER (weight * r.share >= 2 * source_size), 0) AS BIGINT))
+           / CAST(sum(weight) FILTER (r.share IS NULL OR weight * r.share < 2 * source_size) AS BIGINT)
+    FROM s)
+  FROM rounds r WHERE i < 200 AND (i = 0 OR r.share IS NOT NULL)),
+final AS (SELECT arg_max(share, i) AS share FROM rounds WHERE share IS NOT NULL),
+t AS (
+  SELECT source, source_size,
+         CASE WHEN (SELECT share FROM final) IS NULL OR weight * (SELECT share FROM final) >= 2 * source_size
+              THEN CAST(2 * source_size AS DOUBLE) ELSE weight * (SELECT share FROM final) END AS target
+  FROM s),
+r AS (
+  SELECT doc_id, size, source_size, target,
+         CASE WHEN source_size > 0 THEN target / source_size ELSE CAST(0 AS DOUBLE) END AS rate,
+         CAST(CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || text), 1, 13) AS BIGINT) AS DOUBLE)
+           / CAST(4503599627370496 AS DOUBLE) AS draw
+  FROM w JOIN t ON w.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken,
+       rate, CAST(floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM r"""
+
+ORACLES["op5_exact_dedup"] = r"""
+WITH n AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain
+  FROM documents),
+k AS (
+  SELECT doc_id, sha256(plain) AS text_sha256,
+         first_value(doc_id) OVER (PARTITION BY plain ORDER BY points DESC, doc_id NULLS LAST) AS keep_id,
+         count(*) OVER (PARTITION BY plain) AS group_size
+  FROM n)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k"""
+
+ORACLES["op6_chat_format"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT CAST(-7 AS BIGINT), CAST(0 AS BIGINT), 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT CAST(-7 AS BIGINT), CAST(1 AS BIGINT), 'assistant', '\### Assistant: </turn> ok'),
+l AS (
+  SELECT *, 6 + 1 + 8 + length(role) + length(text)
+         + length(regexp_replace(role || text, '[^\\<>:]', '', 'g')) AS chars,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC, text DESC) = 1 AS final
+  FROM c),
+p AS (
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text
+                             ROWS UNBOUNDED PRECEDING) AS prefix FROM l)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(prefix) FILTER (role = 'assistant' OR final) AS BIGINT) AS formatted_chars
+FROM p GROUP BY conv_id"""
+
+ORACLES["op7_warc"] = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+b AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS digest,
+         max(page_id) OVER (PARTITION BY payload) AS best FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((CAST('0x' || substr(digest, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)),
+         'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = best THEN NULL ELSE best END AS refers_to
+FROM b"""
