@@ -7,8 +7,10 @@ registers with probability 0.52, so all 32 bands miss them once in 2e10 times (o
 at 0.8).
 
 Members of a bucket are compared with its first member only. What is linked this way is joined
-to components; then the buckets that still hold several components
-are settled: members of different components are compared, by sketch and then by set. So no
+to components; members outside a bucket's largest component are then compared with one member
+of that. What is still open is settled: members of one bucket in different components become
+a pair if they can be linked at all, which parity bits tell without error: each element flips one
+of 512 bits, so two sets differ in at least as many elements as their bits differ in. So no
 group is expanded into pairs, and no link between components is skipped.
 
 Candidates pass if their Jaccard estimate, corrected for registers that agree by accident, is
@@ -32,6 +34,7 @@ BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 WORDS, PERCENT = 5, 80
+PARITY_BITS = 512
 WORD_MEMO = 400_000
 CLASS = "decimal(38,0)"
 _RNG = np.random.Generator(np.random.PCG64(20240229))
@@ -118,6 +121,12 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def parity(hashes: np.ndarray) -> list[int]:
+    """512 bits, each the parity of the number of elements that fall on it."""
+    bits = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _class_id(hashes: np.ndarray) -> Decimal:
     """126 bits of the set's digest, as a number that Spark compares and hashes as a whole."""
     digest = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
@@ -129,13 +138,13 @@ def _sets(df: DataFrame, text: str, words: int, *, sketches: bool, sets: bool) -
     with_python(df.sparkSession)
     more = [("k", CLASS), ("n_shingles", "long")]
     more += [("sketch", "binary")] if sketches else []
-    more += [("shingle_set", "binary")] if sets else []
+    more += [("shingle_set", "binary"), ("parity", "array<long>")] if sets else []
     schema = extended(df, *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _WordHash()
         for batch in batches:
-            keys, counts, drawn, whole = [], [], [], []
+            keys, counts, drawn, whole, odd = [], [], [], [], []
             for value in batch.column(batch.schema.get_field_index(text)):
                 h = shingles(value.as_py() or "", words, memo)
                 keys.append(_class_id(h))
@@ -144,9 +153,10 @@ def _sets(df: DataFrame, text: str, words: int, *, sketches: bool, sets: bool) -
                     drawn.append(sketch(h).tobytes() if len(h) else b"")
                 if sets:
                     whole.append(h.tobytes())
+                    odd.append(parity(h))
             added = [pa.array(keys, pa.decimal128(38, 0)), pa.array(counts, pa.int64())]
             added += [pa.array(drawn, pa.binary())] if sketches else []
-            added += [pa.array(whole, pa.binary())] if sets else []
+            added += [pa.array(whole, pa.binary()), pa.array(odd, pa.list_(pa.int64()))] if sets else []
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], schema.names)
 
     return df.mapInArrow(run, schema)
@@ -174,7 +184,7 @@ def _with_sets(docs: DataFrame, needed: DataFrame, text: str, doc_id: str, words
     found = _sets(some.select("id", "text"), "text", words, sketches=True, sets=True).drop("text")
     right = needed.select(F.col("k").alias("nk"), "rep")
     found = found.join(right, (F.col("k") == F.col("nk")) & F.col("id").eqNullSafe(F.col("rep")), "left_semi")
-    return kept_table(found.select("k", "sketch", "shingle_set").dropDuplicates(["k"]))
+    return kept_table(found.select("k", "n_shingles", "sketch", "shingle_set", "parity").dropDuplicates(["k"]))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -222,16 +232,40 @@ def components(edges: DataFrame) -> DataFrame:
         nodes = kept_table(moved.select("k", "degree", F.col("best").alias("c")))
 
 
-def _open_pairs(bands: DataFrame, owner: DataFrame) -> DataFrame:
-    """Members of one bucket in different components, each pair once."""
+def _mixed(bands: DataFrame, owner: DataFrame) -> DataFrame:
+    """(bucket, k, c, members): the rows of buckets that hold several components c."""
     member = bands.join(owner, "k", "left").select("bucket", "k", F.coalesce("component", "k").alias("c"))
     ends = member.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("members"))
     several = kept_table(ends.where("lo <> hi").select("bucket", "members"))
     total = several.agg(F.sum("members")).first()[0] or 0
-    mixed = kept_table(lookup(member, several, ["bucket"], "members", total))
-    one = mixed.select("bucket", F.col("k").alias("a"), F.col("c").alias("ca"))
-    other = mixed.select("bucket", F.col("k").alias("b"), F.col("c").alias("cb"))
-    return one.join(other, "bucket").where("a < b AND ca <> cb").select("a", "b").distinct()
+    return kept_table(lookup(member, several, ["bucket"], "members", total))
+
+
+def _second_stars(mixed: DataFrame) -> DataFrame:
+    """Members outside a bucket's largest component, each with one member of that, which differs by bucket."""
+    counts = mixed.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"), F.min_by("k", F.xxhash64("k", "bucket")).alias("hub"))
+    top = counts.groupBy("bucket").agg(
+        F.max_by(F.struct(F.col("c").alias("top"), "hub"), F.struct("n", "c")).alias("x"), F.sum("n").alias("size")
+    )
+    top = kept_table(top.select("bucket", "size", "x.top", "x.hub"))
+    total = top.agg(F.sum("size")).first()[0] or 0
+    pairs = lookup(mixed, top, ["bucket"], "size", total).where("c <> top")
+    return pairs.select(F.least("k", "hub").alias("a"), F.greatest("k", "hub").alias("b")).distinct()
+
+
+def _open_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members of one bucket in different components whose sets may be similar enough by size
+    and parity bits, each pair once."""
+    known = mixed.select("bucket", "k", "c").join(sets.select("k", "n_shingles", "parity"), "k")
+    named = lambda x: known.select("bucket", *[F.col(n).alias(f"{n}_{x}") for n in ("k", "c", "n_shingles", "parity")])
+    differ = F.lit(0)
+    for i in range(PARITY_BITS // 64):
+        differ = differ + F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i]))
+    both = F.col("n_shingles_a") + F.col("n_shingles_b")
+    can_link = (F.col("k_a") < F.col("k_b")) & (F.col("c_a") != F.col("c_b")) & ((100 + percent) * differ <= (100 - percent) * both)
+    a, b = named("a"), named("b").withColumnRenamed("bucket", "bucket_b")
+    met = a.join(b, (F.col("bucket") == F.col("bucket_b")) & can_link)
+    return met.select(F.col("k_a").alias("a"), F.col("k_b").alias("b")).distinct()
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -249,10 +283,11 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, words: int, percent: int)
     stars = kept_table(stars)
     edges = kept_table(_verified(stars, sets, percent))
     owner = components(edges)
-    rest = _open_pairs(bands, owner).join(stars, ["a", "b"], "left_anti")
-    more = kept_table(_verified(rest, sets, percent))
-    if more.limit(1).count():
-        owner = components(edges.unionByName(more))
+    for pairs in (_second_stars, lambda mixed: _open_pairs(mixed, sets, percent)):
+        more = kept_table(_verified(pairs(_mixed(bands, owner)), sets, percent))
+        if more.limit(1).count():
+            edges = edges.unionByName(more)
+            owner = components(edges)
     joined = kept_table(
         classes.select("k", "size", "rep").join(owner, "k", "left").withColumn("component", F.coalesce("component", "k"))
     )
