@@ -189,12 +189,11 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", modulu
     rows = possible_member(rows, "key", several, "several")
     alone = rows.where("NOT several").select(*plain.columns)
     # the winner of each group is named by prints, length and id, so a large group spreads out
-    winner = groups.select("fp", "n_bytes", (-F.col("best.less")).alias("n_points"), F.col("best.id").alias("best_id"), "part")
+    winner = groups.select(*[F.col(k).alias(f"w_{k}") for k in KEYS], (-F.col("best.less")).alias("w_points"), F.col("best.id").alias("w_id"))
     met = rows.where("several").join(
         winner,
-        (rows.fp == winner.fp) & (rows.n_bytes == winner.n_bytes)
-        & (rows.n_points == winner.n_points) & rows[ident].eqNullSafe(winner.best_id)
-        & ((winner.part == "") | (winner.part == rows.text_sha256)),
-    ).select(*plain.columns, rows.fp, rows.n_bytes, winner.part)
-    one = met.dropDuplicates(KEYS).select(*plain.columns)
+        (F.col("fp") == F.col("w_fp")) & (F.col("n_bytes") == F.col("w_n_bytes")) & (F.col("n_points") == F.col("w_points"))
+        & F.col(ident).eqNullSafe(F.col("w_id")) & F.col("w_part").isin("", F.col("text_sha256")),
+    )
+    one = met.dropDuplicates([f"w_{k}" for k in KEYS]).select(*plain.columns)
     return alone.unionByName(one).toDF(*docs.columns)
