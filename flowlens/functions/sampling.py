@@ -10,8 +10,8 @@ def hash_order(row_id: Column, seed: int = 42) -> Column:
 
 
 def lattice_order(row_id: Column, seed: int = 42) -> Column:
-    """Multiplicative order that any SQL engine computes alike; needs row_id below 3e9."""
-    return (row_id * F.lit(2654435761) + F.lit(seed)) % F.lit(4294967296)
+    """Multiplicative order that any SQL engine computes alike; ids count modulo 2**31."""
+    return (F.pmod(row_id, F.lit(2147483648)) * F.lit(2654435761) + F.lit(seed)) % F.lit(4294967296)
 
 
 def sample_rows(

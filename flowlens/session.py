@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -40,7 +41,7 @@ def require_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not named:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):  # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         named = tempfile.mkdtemp(prefix="flowlens-checkpoint-")
     sc.setCheckpointDir(named)
