@@ -17,6 +17,7 @@ import itertools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -25,6 +26,7 @@ from flowlens.llm.common import extended, text_or_empty, with_python, without_na
 GAP = "▁"
 MEMO = 300_000  # remembered chunks (in each of two generations) and pairs of a worker; only speed depends on it
 LONG_CHUNK = 64
+ROWS_AT_ONCE = 128
 _READY: dict[str, "PieceCodec"] = {}
 
 
@@ -260,18 +262,22 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", *, ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
-            counts, id_hash, text_hash, lists = [], [], [], []
-            for value in batch.column(batch.schema.get_field_index(text)):
-                chunks = own.split(value.as_py() or "")
-                joined = own.joined(chunks)
-                counts.append(joined.count(",") + 1 if joined else 0)
-                id_hash.append(hashlib.sha256(joined.encode()).hexdigest())
-                text_hash.append(hashlib.sha256(own.decoded(chunks).encode()).hexdigest())
-                if ids:
-                    lists.append([int(i) for i in joined.split(",")] if joined else [])
-            columns = [pa.array(counts, pa.int64()), pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string())]
-            columns += [pa.array(lists, pa.list_(pa.int32()))] if ids else []
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema.names)
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):  # ids take many times their text's space
+                yield encoded(own, whole.slice(start, ROWS_AT_ONCE))
+
+    def encoded(own: PieceCodec, batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts, id_hash, text_hash, lists = [], [], [], []
+        for value in batch.column(batch.schema.get_field_index(text)):
+            chunks = own.split(value.as_py() or "")
+            joined = own.joined(chunks)
+            counts.append(joined.count(",") + 1 if joined else 0)
+            id_hash.append(hashlib.sha256(joined.encode()).hexdigest())
+            text_hash.append(hashlib.sha256(own.decoded(chunks).encode()).hexdigest())
+            if ids:
+                lists.append(np.array(joined.split(",") if joined else [], dtype=np.int32))
+        columns = [pa.array(counts, pa.int64()), pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string())]
+        columns += [pa.array(lists, pa.list_(pa.int32()))] if ids else []
+        return pa.RecordBatch.from_arrays([*batch.columns, *columns], schema.names)
 
     return kept.mapInArrow(run, schema)
