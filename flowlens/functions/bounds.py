@@ -11,6 +11,21 @@ class TooManyValues(ValueError):
     """A column meant to hold a small vocabulary holds more values than allowed."""
 
 
+class UnlistedValues(ValueError):
+    """Rows hold values, or nulls, that the caller's list of classes leaves out."""
+
+
+def refuse_unlisted(df: DataFrame, column: str, values: Sequence) -> None:
+    """Raises when a row's class is missing from the list; reads one column.
+
+    A report on some classes is asked for by a filter before it, never by a short list.
+    """
+    other = df.where(~F.coalesce(F.col(column).isin(list(values)), F.lit(False))).select(column)
+    found = other.distinct().limit(10).collect()
+    if found:
+        raise UnlistedValues(f"column {column!r} also holds {[r[0] for r in found]}")
+
+
 def vocabulary(df: DataFrame, column: str, limit: int = 1000) -> list:
     """Sorted distinct non-null values of one column; refuses to pull more than ``limit``."""
     return vocabularies(df, [column], limit)[column]

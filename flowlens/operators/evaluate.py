@@ -32,7 +32,10 @@ def confusion_counts(
 def confusion_matrix(
     df: DataFrame, y: str = "y", p: str = "prediction", labels: Sequence | None = None
 ) -> DataFrame:
-    """Every cell over the sorted union of labels, zero where nothing was observed."""
+    """Every cell over the sorted union of labels, zero where nothing was observed.
+
+    Observed cells outside a given list, or with a null side, are returned as well.
+    """
     if labels is None:
         seen = vocabularies(df, [y, p])
         labels = sorted({*seen[y], *seen[p]})
@@ -42,14 +45,16 @@ def confusion_matrix(
         .select(F.explode(known).alias("actual"))
         .select("actual", F.explode(known).alias("predicted"))
     )
-    counts = confusion_counts(df, y, p)
-    return cells.join(counts, ["actual", "predicted"], "left").na.fill(0, ["n"])
+    blank = cells.withColumn("n", F.lit(0).cast("long"))
+    both = blank.unionByName(confusion_counts(df, y, p)) if labels else confusion_counts(df, y, p)
+    return both.groupBy("actual", "predicted").agg(F.sum("n").alias("n"))
 
 
 def binary_cells(
     df: DataFrame, y: str = "y", p: str = "prediction", by: Sequence[str] = ()
 ) -> DataFrame:
-    yes, hit = F.col(y) == 1, F.col(p) == 1
+    """Counts of the four outcomes; whatever is not 1, null included, counts as the other class."""
+    yes, hit = (F.col(c).eqNullSafe(F.lit(1)) for c in (y, p))
     return df.groupBy(*by).agg(
         F.count_if(~yes & ~hit).alias("tn"),
         F.count_if(~yes & hit).alias("fp"),

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from flowlens.functions.bounds import refuse_unlisted
 from flowlens.functions.quantiles import exact_quantiles
 from flowlens.functions.stats import clean_numeric, corrected_skewness, share
 
@@ -150,9 +151,10 @@ def box_stats(
     """Quartiles and whiskers per group and column, values through log1p by default.
 
     Whiskers are the furthest values inside the fences. Groups are a bounded label set; rows
-    combine map-side to one row per group, however large a group is.
+    combine map-side to one row per group, however large a group is. A row of a group that is
+    not named is an error.
     """
-    df = df.where(F.col(by).isin(list(groups)))
+    refuse_unlisted(df, by, groups)
     vals = {}
     for c in columns:
         v = clean_numeric(df, c)
@@ -192,39 +194,53 @@ def histogram(
     """Equal-width counts per column (and class), each on its own range, last bin closed.
 
     Only non-empty bins are returned. A constant column is centred in a range of width one.
-    Classes are named by the caller, so the broadcast range table holds exactly
-    ``len(columns) * len(groups)`` rows at most.
+    Ranges come from one wide aggregate and enter the second pass as constants, so no row is
+    joined; a row of a class that is not named is an error.
     """
-    key = [by] if by else []
     if by:
-        df = df.where(F.col(by).isin(list(groups)))
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("column"), clean_numeric(df, c).alias("v")) for c in columns]
-    )
-    long = (
-        df.select(*key, F.explode(pairs).alias("p"))
-        .select(*key, "p.column", "p.v")
-        .where(F.col("v").isNotNull())
-    )
-    flat = F.min("v") == F.max("v")
-    ranges = long.groupBy(*key, "column").agg(
-        F.when(flat, F.min("v") - 0.5).otherwise(F.min("v")).alias("low"),
-        F.when(flat, F.max("v") + 0.5).otherwise(F.max("v")).alias("high"),
-        F.count("*").alias("total"),
-    )
-    place = F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * bins)
+        refuse_unlisted(df, by, groups)
+    key = [by] if by else []
+    vals = [clean_numeric(df, c) for c in columns]
+    bounds = df.groupBy(*key).agg(*[F.struct(F.min(v), F.max(v), F.count(v)) for v in vals])
+    ranges = {r[0] if by else None: r[len(key):] for r in bounds.collect()}  # one row per class
+
+    def constants(g) -> Column:
+        cells = []
+        for low, high, total in ranges[g]:
+            if low is not None and low == high:
+                low, high = low - 0.5, high + 0.5
+            cells.append(F.struct(*[
+                F.lit(x).cast(kind).alias(name)
+                for x, kind, name in ((low, "double", "low"), (high, "double", "high"), (total, "long", "total"))
+            ]))
+        return F.array(*cells)
+
+    known = constants(None) if not by else None
+    for g in ranges if by else ():
+        hit = F.col(by) == F.lit(g)
+        known = F.when(hit, constants(g)) if known is None else known.when(hit, constants(g))
+    out = [*key, "column", "bin", "n", "left_edge", "density"]
+    if known is None:
+        kinds = [f"`{by}` {df.schema[by].dataType.simpleString()}"] if by else []
+        kinds += ["column string", "bin int", "n long", "left_edge double", "density double"]
+        return df.sparkSession.createDataFrame([], ", ".join(kinds))
+
+    def place(i: int) -> Column:
+        low, high = (F.get(known, F.lit(i))[x] for x in ("low", "high"))
+        at = F.floor((vals[i] - low) / (high - low) * bins)
+        return F.least(at, F.lit(bins - 1)).cast("int")
+
+    cells = F.array(*[F.struct(F.lit(i).alias("pos"), place(i).alias("bin")) for i in range(len(vals))])
     counted = (
-        long.join(F.broadcast(ranges), [*key, "column"])
-        .withColumn("bin", F.least(place, F.lit(bins - 1)).cast("int"))
-        .groupBy(*key, "column", "bin")
-        .agg(
-            F.count("*").alias("n"), F.first("low").alias("low"),
-            F.first("high").alias("high"), F.first("total").alias("total"),
-        )
+        df.select(*key, F.inline(cells))
+        .where(F.col("bin").isNotNull())
+        .groupBy(*key, "pos", "bin")
+        .agg(F.count("*").alias("n"))
+        .withColumn("at", F.get(known, F.col("pos")))
     )
-    width = (F.col("high") - F.col("low")) / bins
+    width = (F.col("at.high") - F.col("at.low")) / bins
     return counted.select(
-        *key, "column", "bin", "n",
-        (F.col("low") + F.col("bin") * width).alias("left_edge"),
-        (F.col("n") / (F.col("total") * width)).alias("density"),
-    )
+        *key, F.get(F.array(*[F.lit(c) for c in columns]), F.col("pos")).alias("column"), "bin", "n",
+        (F.col("at.low") + F.col("bin") * width).alias("left_edge"),
+        (F.col("n") / (F.col("at.total") * width)).alias("density"),
+    ).select(*out)

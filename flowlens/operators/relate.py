@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.functions.bounds import vocabulary
 from flowlens.functions.stats import clean_numeric, pearson
+from flowlens.session import ship_package
 
-# Up to this many columns, the products of all pairs fit into one compiled aggregate.
-PRODUCT_COLUMNS = 16
+OTHER = "(other)"
 
 
 def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -51,37 +51,78 @@ def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, r) for every pair a before b in column order.
+    """(a, b, r) for every pair a before b in column order, over the rows where both are present.
 
-    A wide table without missing values goes through the covariance of ``Correlation``; a
-    wide table with them is done in blocks of pairs.
+    One pass for means, then one for the sums of centred products of all pairs at once: each
+    task adds up five columns x columns matrices and gives one row per pair, so the shuffle
+    holds pairs x tasks rows whatever the number of rows. A pair with a constant side gives null.
     """
     columns = list(columns)
-    pairs = list(combinations(columns, 2))
-    size = PRODUCT_COLUMNS * (PRODUCT_COLUMNS - 1) // 2
-    if len(pairs) > size:
-        has_null = df.agg(
-            *[F.count_if(clean_numeric(df, c).isNull()).alias(c) for c in columns]
-        ).first()
-        if not any(has_null):
-            return _matrix_pairs(df, columns)
-    out = None
-    for i in range(0, len(pairs), size):
-        rows = correlations(df, pairs[i : i + size])
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def _matrix_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    cells = df.select(*[clean_numeric(df, c).alias(c) for c in columns])
-    vectors = VectorAssembler(inputCols=columns, outputCol="v").transform(cells)
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()  # columns x columns
-    spark = df.sparkSession
-    rows = [
-        (a, b, None if matrix[i, j] != matrix[i, j] else float(matrix[i, j]))
-        for (i, a), (j, b) in combinations(enumerate(columns), 2)
-    ]
-    return spark.createDataFrame(rows, "a string, b string, r double")
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
+    ship_package(df.sparkSession)
+    cells = df.select(*[clean_numeric(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    means = [m or 0.0 for m in cells.agg(*[F.avg(c) for c in cells.columns]).first()]
+    upper = np.triu_indices(len(columns), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = PairSums(len(means))
+        for batch in batches:
+            sums.add(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - means)
+        if sums.rows:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(upper[0]), pa.array(upper[1]), *[pa.array(v[upper]) for v in sums.parts()]],
+                names=["i", "j", *PairSums.NAMES],
+            )
+
+    kinds = ", ".join(f"{n} double" for n in PairSums.NAMES)
+    merge = {"low": F.min, "high": F.max}
+    whole = cells.mapInArrow(run, f"i long, j long, {kinds}").groupBy("i", "j").agg(
+        *[merge.get(n[:-2], F.sum)(n).alias(n) for n in PairSums.NAMES]
+    )
+    n, flat = F.col("n"), (F.col("low_x") >= F.col("high_x")) | (F.col("low_y") >= F.col("high_y"))
+    spread = lambda c: F.sqrt(n * F.col(f"sq_{c}") - F.col(f"sum_{c}") * F.col(f"sum_{c}"))
+    r = F.try_divide(n * F.col("prod") - F.col("sum_x") * F.col("sum_y"), spread("x") * spread("y"))
+    # Every pair is there also when no row is; columns x columns literals.
+    names = [(i, j, columns[i], columns[j]) for i, j in combinations(range(len(columns)), 2)]
+    pairs = df.sparkSession.createDataFrame(names, "i long, j long, a string, b string")
+    return pairs.join(whole, ["i", "j"], "left").select("a", "b", F.when(~flat, r).alias("r"))
+
+
+class PairSums:
+    """Sums over the rows where both columns of a pair are present, NaN being missing."""
+
+    NAMES = ["n", "sum_x", "sum_y", "sq_x", "sq_y", "prod", "low_x", "high_x", "low_y", "high_y"]
+
+    def __init__(self, width: int):
+        self.rows = 0
+        self.sums = np.zeros((4, width, width))  # n, sum, square and product by (column, partner)
+        self.low, self.high = np.full((width, width), np.inf), np.full((width, width), -np.inf)
+
+    def add(self, x: np.ndarray) -> None:
+        if not len(x):
+            return
+        self.rows += len(x)
+        here = ~np.isnan(x)
+        v, m = np.where(here, x, 0.0), here.astype(float)
+        self.sums += [m.T @ m, v.T @ m, (v * v).T @ m, v.T @ v]
+        lows, highs = np.where(here, x, np.inf), np.where(here, x, -np.inf)
+        full = here.all(axis=0)
+        self._bounds(full, lows, highs)
+        for j in np.flatnonzero(~full):
+            self._bounds(j, lows[here[:, j]], highs[here[:, j]])
+
+    def _bounds(self, partner, lows: np.ndarray, highs: np.ndarray) -> None:
+        if len(lows):
+            low, high = lows.min(axis=0), highs.max(axis=0)
+            if np.ndim(partner):
+                low, high = low[:, None], high[:, None]
+            self.low[:, partner] = np.minimum(self.low[:, partner], low)
+            self.high[:, partner] = np.maximum(self.high[:, partner], high)
+
+    def parts(self) -> list[np.ndarray]:
+        n, total, square, product = self.sums
+        return [n, total, total.T, square, square.T, product, self.low, self.high, self.low.T, self.high.T]
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -131,6 +172,11 @@ def keep_top_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:
 
 
 def crosstab(df: DataFrame, a: str, b: str, values: Sequence | None = None) -> DataFrame:
-    """Zero-filled contingency table, one column per value of ``b``."""
+    """Zero-filled contingency table, one column per value of ``b``.
+
+    Values outside a given list, and nulls, are counted in the column ``(other)``.
+    """
     values = list(values) if values is not None else vocabulary(df, b)
-    return df.groupBy(a).pivot(b, values).count().na.fill(0).orderBy(a)
+    listed = F.coalesce(F.col(b).isin(values), F.lit(False))
+    cells = [F.count_if(F.col(b) == F.lit(v)).alias(str(v)) for v in values]
+    return df.groupBy(a).agg(*cells, F.count_if(~listed).alias(OTHER)).orderBy(a)

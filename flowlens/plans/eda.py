@@ -77,12 +77,41 @@ def corr_label_rank(spark, sf):
 @query("crosstab_topn", f"""WITH t AS (
   SELECT p_brand FROM part GROUP BY 1 ORDER BY count(*) DESC, p_brand LIMIT 10)
 SELECT p_brand, {", ".join(f'''count(*) FILTER (p_type = '{t}') AS "{t}"''' for t in PART_TYPES)}
+, count(*) FILTER (p_type NOT IN ({", ".join(f"'{t}'" for t in PART_TYPES)})) AS "(other)"
 FROM part WHERE p_brand IN (SELECT p_brand FROM t) GROUP BY 1""")
 def crosstab_topn(spark, sf):
     parts = relate.keep_top_values(table(spark, sf, "part"), "p_brand", 10)
     return relate.crosstab(parts, "p_brand", "p_type", PART_TYPES)
 
 
+@query("crosstab_unlisted", f"""WITH {EV}
+SELECT origin, count(*) FILTER (label = 'view') AS "view", count(*) FILTER (label = 'click') AS "click",
+       count(*) FILTER (label NOT IN ('view', 'click')) AS "(other)" FROM ev GROUP BY 1""")
+def crosstab_unlisted(spark, sf):
+    return relate.crosstab(ev(spark, sf), "origin", "label", ["view", "click"])
+
+
+WIDE_SQL = [
+    *[f"{a} * {b} AS p_{a}_{b}" for a, b in combinations(LI_NUM[:5], 2)],
+    *LI_NUM, "l_tax * 1e-13 AS tiny", "CASE WHEN l_quantity > 40 THEN NULL ELSE l_extendedprice END AS holes",
+    "CASE WHEN l_discount > 0.05 THEN NULL ELSE l_quantity END AS gaps",
+]
+WIDE = [c.rsplit(" ", 1)[-1] for c in WIDE_SQL]
+WIDE_PAIRS = " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, " + (
+        "max(NULL::DOUBLE)" if "k0" in (a, b) else f"corr({a}::DOUBLE, {b}::DOUBLE)"
+    ) + " AS r FROM w" for a, b in combinations(WIDE, 2)
+)
+
+
+@query("corr_wide", f"""WITH {LI}, w AS (SELECT {", ".join(WIDE_SQL)} FROM li), p AS ({WIDE_PAIRS})
+SELECT b AS row, a AS "column", round_even(r, 6) AS r FROM p""")
+def corr_wide(spark, sf):
+    """Twenty columns: products, a constant, one of tiny spread and two with missing cells."""
+    wide = li(spark, sf).selectExpr(*WIDE_SQL)
+    return rounded(relate.correlation_matrix(wide, WIDE), 6, "r")
+
+
 @query("top_value_rows", """WITH t AS (
   SELECT p_brand FROM part GROUP BY 1 ORDER BY count(*) DESC, p_brand LIMIT 10)
 SELECT p_partkey, p_brand FROM part WHERE p_brand IN (SELECT p_brand FROM t)""")
@@ -92,7 +121,7 @@ def top_value_rows(spark, sf):
 
 @query("crosstab_category", f"""WITH {LI}
 SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS "F",
-       count(*) FILTER (l_linestatus = 'O') AS "O" FROM li GROUP BY 1""")
+       count(*) FILTER (l_linestatus = 'O') AS "O", CAST(0 AS BIGINT) AS "(other)" FROM li GROUP BY 1""")
 def crosstab_category(spark, sf):
     return relate.crosstab(li(spark, sf), "l_returnflag", "l_linestatus")
 
