@@ -50,6 +50,18 @@ class OneHot:
         name = F.element_at(F.array(*[F.lit(n) for n in names]), at.cast("int"))
         return df.withColumn(column, F.replace(name, F.lit(f"{column}_"), F.lit("")))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        rows = [(i, c, v) for i, (c, vs) in enumerate(self.levels.items()) for v in [None, *vs]]
+        save_table(spark.createDataFrame(rows, "pos int, column string, value string"), path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> OneHot:
+        """Levels come back sorted as texts, a column without values with none."""
+        levels: dict[str, list[str]] = {}
+        for r in load_table(spark, path).orderBy("pos", "value").collect():  # one row per level
+            levels.setdefault(r["column"], []).extend([] if r["value"] is None else [r["value"]])
+        return cls(levels)
+
 
 def label_encode(df: DataFrame, columns: Sequence[str], limit: int = 1000) -> DataFrame:
     """Each column replaced by the position of its value in sorted order.
@@ -119,6 +131,15 @@ class Standardizer:
         return cls({r["column"]: (r["mean"], r["std"]) for r in rows})
 
 
+def save_order(spark: SparkSession, columns: Sequence[str], path: str) -> None:
+    """The feature order a model was trained with."""
+    save_table(spark.createDataFrame(list(enumerate(columns)), "pos int, column string"), path)
+
+
+def load_order(spark: SparkSession, path: str) -> list[str]:
+    return [r["column"] for r in load_table(spark, path).orderBy("pos").collect()]  # one row per feature
+
+
 def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
     """Feature vector in the given column order; a null cell is an error."""
     return VectorAssembler(

@@ -63,31 +63,33 @@ def binary_cells(
     )
 
 
+def rates_of(cells: DataFrame) -> DataFrame:
+    """False positive and false negative rates in percent beside the cells, 0 without a base."""
+    rate = lambda a, b: _pct(ratio_or_zero(F.col(a), F.col(a) + F.col(b)))
+    return cells.withColumns({"fpr": rate("fp", "tn"), "fnr": rate("fn", "tp")})
+
+
+def metrics_of(cells: DataFrame) -> DataFrame:
+    """Metrics of class 1 beside the cells in percent, two digits, 0 on an empty denominator."""
+    tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
+    return cells.withColumns({
+        "accuracy": _pct(ratio_or_zero(tp + tn, tp + tn + fp + fn)),
+        "precision": _pct(ratio_or_zero(tp, tp + fp)),
+        "recall": _pct(ratio_or_zero(tp, tp + fn)),
+        "f1": _pct(ratio_or_zero(2 * tp, 2 * tp + fp + fn)),
+    })
+
+
 def error_rates(
     df: DataFrame, y: str = "y", p: str = "prediction", by: Sequence[str] = ()
 ) -> DataFrame:
-    """Cells with false positive and false negative rates in percent, 0 without a base."""
-    rate = lambda a, b: _pct(ratio_or_zero(a, a + b))
-    return binary_cells(df, y, p, by).withColumns(
-        {
-            "fpr": rate(F.col("fp"), F.col("tn")),
-            "fnr": rate(F.col("fn"), F.col("tp")),
-        }
-    )
+    return rates_of(binary_cells(df, y, p, by))
 
 
 def binary_metrics(
     df: DataFrame, y: str = "y", p: str = "prediction", by: Sequence[str] = ()
 ) -> DataFrame:
-    """Metrics of class 1 in percent, two digits, 0 on an empty denominator."""
-    tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
-    return binary_cells(df, y, p, by).select(
-        *by,
-        _pct(ratio_or_zero(tp + tn, tp + tn + fp + fn)).alias("accuracy"),
-        _pct(ratio_or_zero(tp, tp + fp)).alias("precision"),
-        _pct(ratio_or_zero(tp, tp + fn)).alias("recall"),
-        _pct(ratio_or_zero(2 * tp, 2 * tp + fp + fn)).alias("f1"),
-    )
+    return metrics_of(binary_cells(df, y, p, by)).select(*by, *METRICS)
 
 
 def per_class(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -37,7 +37,7 @@ def _forest(classes, rows, **p):
 
 def _boosting(classes, rows, **p):
     one = GBTClassifier(**{"maxIter": 100, "seed": SEED, "maxMemoryInMB": TREE_MEMORY_MB, **p})
-    return one if classes == 2 else OneVsRest(classifier=one)
+    return one if classes == 2 else OneVsRest(classifier=one, parallelism=min(classes, 8))
 
 
 def _tree(classes, rows, **p):
@@ -135,13 +135,34 @@ def importances(model, names: Sequence[str], k: int | None = 20) -> DataFrame:
     return out if k is None else out.limit(k)
 
 
-def compare(scored: dict[str, DataFrame], task: str) -> DataFrame:
-    """One metric row per model, all models counted in one grouped pass."""
-    both = None
-    for name, df in scored.items():
-        part = df.select(F.lit(name).alias("model"), "y", "prediction")
-        both = part if both is None else both.unionByName(part)
-    return evaluate.metrics(both, task, by=["model"])
+def score_all(
+    models: Mapping[str, object], df: DataFrame, keep: Sequence[str] = ("row_id", "y"),
+    flags: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """(keep, model, prediction, p) of every row by every model, from one scan of the rows.
+
+    ``flags`` adds predictions that columns of the rows already hold, with p null.
+    """
+    def cell(name: str, prediction: Column, p: Column) -> Column:
+        return F.struct(
+            F.lit(name).alias("model"), prediction.cast("int").alias("prediction"),
+            p.cast("array<double>").alias("p"),
+        )
+
+    cells = [cell(n, c, F.lit(None)) for n, c in (flags or {}).items()]
+    out = df
+    for i, (name, model) in enumerate(models.items()):
+        out = model.transform(out)
+        p = vector_to_array("probability") if "probability" in out.columns else F.lit(None)
+        out = out.withColumn(f"__m{i}", cell(name, F.col("prediction"), p))
+        out = out.drop("prediction", "probability", "rawPrediction")
+        cells.append(F.col(f"__m{i}"))
+    return out.select(*keep, F.inline(F.array(*cells)))
+
+
+def compare(scored: DataFrame, task: str) -> DataFrame:
+    """One metric row per model of (model, y, prediction) rows, counted in one grouped pass."""
+    return evaluate.metrics(scored, task, by=["model"])
 
 
 def tail_split(df: DataFrame, row_id: str = "row_id", fraction: float = 0.1) -> Column:
@@ -175,14 +196,15 @@ def fit_mlp(
     validation: Column,
     epochs: int = 50,
     patience: int = 5,
-    step: int = 1,
+    step: int = 20,
     hidden: Sequence[int] = tuple(HIDDEN),
     block: int = 256,
 ) -> Fitted:
     """Multi-layer perceptron with early stopping.
 
-    Training continues from the previous weights ``step`` optimiser iterations at a time; it
-    stops after ``patience`` rounds without a better validation loss and returns the best
+    Training continues from the previous weights ``step`` optimiser iterations at a time. A
+    round must have tens of them: the optimiser learns the curvature anew in each and takes
+    plain gradient steps until it has. Training stops after ``patience`` rounds without a better validation loss and returns the best
     weights seen.
     """
     train_rows = df.where(~validation).select("features", "y")

@@ -28,21 +28,17 @@ def dataset_kpis(df: DataFrame, n_features: int, n_models: int, origin: str = "o
 def performance(predictions: DataFrame) -> DataFrame:
     """Metrics, cells, rates and the best flag per model from (model, y, prediction) rows.
 
-    Both halves come from the same small per-model cells, so the join is of a row per model.
+    All of it derives from the same cells, so the predictions are read once.
     """
-    metrics = evaluate.metrics(predictions, "binary", by=["model"])
-    rates = evaluate.error_rates(predictions, by=["model"])
+    cells = evaluate.binary_cells(predictions, by=["model"])
+    table = evaluate.metrics_of(evaluate.rates_of(cells)).withColumn("task", F.lit("binary"))
     order = Window.partitionBy("task").orderBy(F.desc("f1"), "model")
-    return metrics.join(rates, "model").withColumn("is_best", F.row_number().over(order) == 1)
+    return table.withColumn("is_best", F.row_number().over(order) == 1)
 
 
 def scored(models: Mapping[str, object], rows: DataFrame) -> DataFrame:
-    """Every row scored by every model, with probabilities, confidence and verdict."""
-    out = None
-    for name, model in models.items():
-        part = training.detail(training.score(model, rows)).withColumn("model", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Every row scored by every model in one scan: probabilities, confidence and verdict."""
+    return training.detail(training.score_all(models, rows))
 
 
 def explanation_ranks(parts: Mapping[str, DataFrame], k: int = 20) -> DataFrame:

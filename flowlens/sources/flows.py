@@ -2,30 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from flowlens.fixed import FLOW_SCHEMA
 
-# Texts that count as missing next to the empty field.
-MISSING = "NA"
+# Texts that count as missing next to the empty field.
+MISSING = [
+    "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+    "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+
+
+def as_text(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+
+
+def typed(
+    texts: DataFrame, schema: T.StructType = FLOW_SCHEMA, missing: Sequence[str] = MISSING
+) -> DataFrame:
+    """Text fields in the schema's types: blanks around them go, missing tokens become null
+    and anything else that isn't a value of its type fails the job. Batch and stream share it."""
+    cells = []
+    for f in schema.fields:
+        text = F.trim(F.col(f"`{f.name}`"))
+        value = F.when((text != "") & ~text.isin(list(missing)), text)
+        if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            # "3.0" is the whole number 3, as a reader sees it in a column with missing fields
+            value = F.when(value.rlike(r"^[+-]?\d+\.0*$"), F.regexp_extract(value, r"^([+-]?\d+)", 1)).otherwise(value)
+        cast = value.try_cast(f.dataType)
+        wrong = F.raise_error(F.concat(F.lit(f"malformed {f.name}: "), value)).cast(f.dataType)
+        cells.append(F.when(value.isNull() | cast.isNotNull(), cast).otherwise(wrong).alias(f.name))
+    return texts.select(*cells)
+
+
+# Every field is read as text and typed by ``typed``; a line with too few or too many fails.
+RAW_OPTIONS = {"header": "false", "mode": "FAILFAST"}
 
 
 def read_raw(
     spark: SparkSession,
     path: str | list[str],
     schema: T.StructType = FLOW_SCHEMA,
-    missing: str = MISSING,
+    missing: Sequence[str] = MISSING,
 ) -> DataFrame:
     """Header-less delimited scan with a fixed schema, so no pass over the data infers types."""
-    return (
-        spark.read.schema(schema)
-        .option("header", "false")
-        .option("nullValue", missing)
-        .option("emptyValue", None)
-        .option("ignoreLeadingWhiteSpace", "true")
-        .option("mode", "FAILFAST")
-        .csv(path)
-    )
+    return typed(spark.read.schema(as_text(schema)).options(**RAW_OPTIONS).csv(path), schema, missing)
 
 
 def read_raw_pair(

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException, PySparkException
-from pyspark.ml import PipelineModel
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,31 +19,31 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 class Registry:
-    """Models under one folder, by name. A model that cannot be read is left out."""
+    """Spark ML models of any class under one folder, by name."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def save(self, name: str, model: PipelineModel) -> None:
+    def save(self, name: str, model) -> None:
         model.write().overwrite().save(f"{self.root}/{name}")
 
-    def load(self, name: str) -> PipelineModel:
-        return PipelineModel.load(f"{self.root}/{name}")
+    def load(self, name: str):
+        """The model, read by the class that its own metadata names."""
+        return DefaultParamsReader.loadParamsInstance(f"{self.root}/{name}", self.spark)
 
-    def available(self, names: list[str]) -> dict[str, PipelineModel]:
-        found = {}
-        for name in names:
-            try:
-                found[name] = self.load(name)
-            except (AnalysisException, PySparkException, Py4JJavaError):
-                continue
-        return found
+    def has(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/metadata")
+        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        return path.getFileSystem(conf).exists(path)
+
+    def available(self, names: list[str]) -> dict[str, object]:
+        """Models whose folder is there; one that is there but can't be read is an error."""
+        return {name: self.load(name) for name in names if self.has(name)}
 
     def table(self, names: list[str]) -> DataFrame:
         """(model, available) rows for a list of expected names."""
-        found = self.available(names)
         return self.spark.createDataFrame(
-            [(n, n in found) for n in names], "model string, available boolean"
+            [(n, self.has(n)) for n in names], "model string, available boolean"
         )
 
 
@@ -62,10 +60,9 @@ def shared(*frames: DataFrame):
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores before work that is heavy per row.
+    """Rows over the session's shuffle partitions before work that is heavy per row.
 
-    Only acts on inputs with fewer partitions than cores, such as one small file; a table
-    with many files keeps its partitions and is not shuffled.
+    For rows that come from few files or blocks, such as one small table. The number is the
+    session's setting, so the plan is the same whatever the input and the executors present.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

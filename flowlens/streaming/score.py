@@ -14,11 +14,11 @@ from pyspark.sql.streaming import StreamingQuery
 from flowlens.fixed import FLOW_CATEGORIES, FLOW_SCHEMA, NORMAL_LABEL
 from flowlens.operators.anomaly import MeanDetector
 from flowlens.operators.clean import add_targets
-from flowlens.sources.flows import MISSING
+from flowlens.sources.flows import RAW_OPTIONS, as_text, typed
 
 
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType = FLOW_SCHEMA) -> DataFrame:
-    return spark.readStream.schema(schema).option("nullValue", MISSING).csv(folder)
+    return typed(spark.readStream.schema(as_text(schema)).options(**RAW_OPTIONS).csv(folder), schema)
 
 
 def flag_stream(

@@ -70,7 +70,7 @@ def test_text_to_marts(spark, tmp_path):
     train, test = clean.part(rows, "train"), clean.part(rows, "test")
     params = {"random_forest": {"numTrees": 10, "maxDepth": 6}, "gradient_boosting": {"maxIter": 5}}
     models = training.train_all(train, list(training.FACTORIES), params=params)
-    table = training.compare({n: training.score(m, test) for n, m in models.items()}, "binary")
+    table = training.compare(training.score_all(models, test), "binary")
     assert table.agg(F.min("accuracy")).first()[0] > 80
 
     target = encode.fit_target(train, "attack_category")
@@ -78,8 +78,8 @@ def test_text_to_marts(spark, tmp_path):
     assert clean.part(many, "test").count() < test.count()
     coded = target.transform(many.drop("y")).withColumn("y", F.col("y").cast("int"))
     multi = training.train_all(clean.part(coded, "train"), ["decision_tree"], len(target.labels))
-    scored = training.score(multi["decision_tree"], clean.part(coded, "test"))
-    assert training.compare({"decision_tree": scored}, "multiclass").first()["accuracy"] > 40
+    scored = training.score_all(multi, clean.part(coded, "test"))
+    assert training.compare(scored, "multiclass").first()["accuracy"] > 40
 
     detector = anomaly.PcaDetector.fit(train.where("y = 0"), k=8)
     flagged = detector.transform(test)

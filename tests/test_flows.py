@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlens import fixed
-from flowlens.functions.bounds import TooManyValues, vocabulary
+from flowlens.functions.bounds import TooManyValues, UnlistedValues, vocabulary
 from flowlens.functions.labels import category_table
-from flowlens.operators import anomaly, clean, encode, profile, relate
+from flowlens.operators import anomaly, clean, encode, evaluate, profile, relate, training
 from flowlens.sources import flows as src
 from flowlens.sources.state import Registry, load_table, save_table, shared, spread
 from flowlens.streaming import flag_stream, read_stream, write_stream
@@ -127,7 +127,12 @@ def test_round_trips(spark, raw, tmp_path):
     save_table(done, f"{tmp_path}/t")
     with shared(load_table(spark, f"{tmp_path}/t")) as kept:
         assert kept.storageLevel.useMemory and kept.count() == 9
-    assert spread(done).rdd.getNumPartitions() >= 8
+    assert spread(done).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = encode.OneHot.fit(done, ["protocol_type", "service"])
+    hot.save(spark, f"{tmp_path}/hot")
+    assert encode.OneHot.load(spark, f"{tmp_path}/hot") == hot
+    encode.save_order(spark, ["b", "a"], f"{tmp_path}/order")
+    assert encode.load_order(spark, f"{tmp_path}/order") == ["b", "a"]
 
 
 def test_missing_model_is_left_out(spark, tmp_path):
@@ -137,6 +142,10 @@ def test_missing_model_is_left_out(spark, tmp_path):
     models = Registry(spark, str(tmp_path))
     df = spark.createDataFrame([(1.0,)], "a double")
     models.save("a", Pipeline(stages=[VectorAssembler(inputCols=["a"], outputCol="f")]).fit(df))
+    labelled = spark.createDataFrame([(1.0, 1), (0.0, 0)] * 5, "a double, y int")
+    ready = VectorAssembler(inputCols=["a"], outputCol="features").transform(labelled)
+    models.save("bare", training.train_all(ready, ["decision_tree"])["decision_tree"])
+    assert training.score(models.load("bare"), ready, ["y"]).where("y <> prediction").count() == 0
     assert list(models.available(["a", "gone"])) == ["a"]
     assert {tuple(r) for r in models.table(["a", "gone"]).collect()} == {("a", True), ("gone", False)}
 
@@ -198,3 +207,42 @@ def test_stream_equals_batch(spark, tmp_path):
     cols = ["label", "attack_category", "binary_label", "error", "flag"]
     got = sorted(map(str, spark.read.parquet(f"{tmp_path}/out").select(cols).collect()))
     assert got == sorted(map(str, flag_stream(batch, detector).select(cols).collect())) and len(got) == 8
+
+
+def test_missing_tokens_and_malformed_fields(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    schema = T.StructType().add("n", "int").add("x", "double").add("s", "string")
+    (tmp_path / "a.txt").write_text(" 1 , 2.5 , normal \nNaN,null,N/A\n3.0,,x\n")
+    for read in (src.read_raw, read_stream):
+        folder = str(tmp_path)
+        df = read(spark, folder, schema)
+        if df.isStreaming:
+            query = write_stream(df, f"{folder}-out", f"{folder}-cp")
+            query.awaitTermination(120)
+            df = spark.read.parquet(f"{folder}-out")
+        assert {tuple(r) for r in df.collect()} == {(1, 2.5, "normal"), (None, None, None), (3, None, "x")}
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "b.txt").write_text("1x,2,a\n")
+    with pytest.raises(Exception, match="malformed n: 1x"):
+        src.read_raw(spark, f"{tmp_path}/b", schema).collect()
+
+
+def test_unlisted_classes_stay_or_are_refused(spark):
+    df = spark.createDataFrame([(2, 1), (0, 0), (None, 1), (1, None)], "y int, prediction int")
+    cells = {(r["actual"], r["predicted"]): r["n"] for r in evaluate.confusion_matrix(df, labels=[0, 1]).collect()}
+    assert cells == {(0, 0): 1, (0, 1): 0, (1, 0): 0, (1, 1): 0, (2, 1): 1, (None, 1): 1, (1, None): 1}
+    assert sum(evaluate.binary_cells(df).first()) == 4
+    assert {r["y"]: r["(other)"] for r in relate.crosstab(df, "y", "prediction", [0]).collect()} == {2: 1, 0: 0, None: 1, 1: 1}
+    for report in (profile.box_stats, lambda d, by, g, c: profile.histogram(d, c, 4, by, g)):
+        with pytest.raises(UnlistedValues):
+            report(df, "y", [0, 1], ["prediction"])
+
+
+def test_pairs_of_empty_and_partly_constant_columns(spark):
+    df = spark.createDataFrame([(1.0, 5.0, None), (2.0, 5.0, 1e-13), (3.0, 6.0, 2e-13)], "a double, b double, c double")
+    got = {(r["a"], r["b"]): r["r"] for r in relate.correlation_pairs(df, ["a", "b", "c"]).collect()}
+    assert math.isclose(got["a", "c"], 1) and math.isclose(got["b", "c"], 1)
+    assert [r["r"] for r in relate.correlation_pairs(df.where("a > 9"), ["a", "b"]).collect()] == [None]
+    part = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (None, 6.0)], "a double, b double")
+    assert relate.correlation_pairs(part, ["a", "b"]).first()["r"] is None  # b is constant where a is present

@@ -45,7 +45,7 @@ def models(rows):
 
 
 def test_scores_and_comparison(spark, rows, models):
-    table = training.compare({n: training.score(m, rows) for n, m in models.items()}, "binary")
+    table = training.compare(training.score_all(models, rows), "binary")
     got = {r["model"]: r["accuracy"] for r in table.collect()}
     assert set(got) == set(models) and min(got.values()) > 75
     detail = training.detail(training.score(models["random_forest"], rows)).first()
@@ -163,6 +163,22 @@ def test_network_stops_early(rows):
     assert abs(best - min(losses)) < 1e-9 and len(losses) <= 6
 
 
+def test_network_learns(rows):
+    held = F.col("row_id") % 4 == 0
+    fit = training.fit_mlp(rows.where(~held), 2, F.col("row_id") % 4 == 1, epochs=4, hidden=(16, 8))
+    losses = [h[2] for h in fit.history]
+    assert losses[1] < losses[0]
+    linear = training.train_all(rows.where(~held), ["logistic_regression"])
+    both = training.compare(training.score_all(linear | {"mlp": fit.model}, rows.where(held)), "binary")
+    got = {r["model"]: r["accuracy"] for r in both.collect()}
+    assert got["mlp"] > got["logistic_regression"] and got["mlp"] > 90
+
+
+def test_models_share_one_scan(rows, models):
+    plan = training.compare(training.score_all(models, rows), "binary")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("InMemoryTableScan") == 1
+
+
 def test_boosting_with_validation(rows):
     fit = training.fit_boosting(rows, training.tail_split(rows), maxIter=6, maxDepth=2)
     assert fit.history[0][1] > fit.history[-1][1]
