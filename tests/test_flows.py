@@ -212,7 +212,7 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_missing_tokens_and_malformed_fields(spark, tmp_path):
     from pyspark.sql import types as T
 
-    schema = T.StructType().add("n", "int").add("x", "double").add("s", "string")
+    schema = T.StructType().add("n", T.IntegerType()).add("x", T.DoubleType()).add("s", T.StringType())
     (tmp_path / "a.txt").write_text(" 1 , 2.5 , normal \nNaN,null,N/A\n3.0,,x\n")
     for read in (src.read_raw, read_stream):
         folder = str(tmp_path)
