@@ -128,6 +128,44 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     assert n.get((1, False), 0) <= 0.01 * n[(1, True)] and n[(0, False)] > 0
 
 
+def test_quality_finds_the_half_of_least_determinant(spark):
+    import numpy as np
+
+    d, rng = len(quality.STATS), np.random.default_rng(4)
+    mixed = {}
+    for g, (n, far) in {"a": (400, 160), "b": (601, 30), quality.ALL: (300, 0)}.items():
+        x = rng.normal(size=(n, d)) @ (0.02 * rng.normal(size=(d, d)) + 0.02 * np.eye(d)) + 1
+        x[:far] = rng.normal(size=(far, d)) * 0.01 + 1.6
+        mixed[g] = x
+    rows = spark.createDataFrame([(g, r.tolist()) for g, x in mixed.items() for r in x], "g string, v array<double>").repartition(3)
+    got = {r["g"]: r for r in quality.halves(rows).collect()}
+    floor = quality.FLOOR**2 * np.eye(d)
+    for g, x in mixed.items():
+        best, h = np.inf, (len(x) + 1) // 2
+        for _ in range(200):  # brute force: random simplices, exact halves
+            at, was = rng.choice(len(x), d + 1, replace=False), None
+            while was is None or set(at) != was:
+                was = set(at)
+                diff, cov = x - x[at].mean(0), np.cov(x[at].T, bias=True) + floor
+                at = np.argsort(np.einsum("ij,jk,ik->i", diff, np.linalg.inv(cov), diff))[:h]
+            best = min(best, np.linalg.slogdet(np.cov(x[at].T, bias=True) + floor)[1])
+        assert h <= got[g]["n"] <= 1.1 * h and best - 1e-6 <= got[g]["det"] <= best + 0.3
+
+
+def test_quality_distance_follows_the_spread(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng, far = np.random.default_rng(5), []
+    x = rng.normal(size=(2000, len(quality.STATS)))
+    for scale in (0.05, 0.5):  # the same documents on two scales, both far above FLOOR
+        rows = spark.createDataFrame([("a", (scale * r).tolist()) for r in x], "g string, v array<double>")
+        judged = quality._distance2()
+        far.append(quality._joined(rows, quality.fit(rows)).agg(F.median(F.sqrt(judged)), F.max(F.sqrt(judged))).first())
+    assert far[0][0] == pytest.approx(far[1][0], rel=0.05) and far[0][0] == pytest.approx(2.09, abs=0.15)
+    assert max(far[0][1], far[1][1]) < quality.CUTOFF
+
+
 @pytest.mark.parametrize("scan,kinds,plain,base,spans", [
     (pii.scan, pii.BASE, brute.pii, "pii_base", "pii_spans"),
     (secret_scan.scan, secret_scan.BASE, brute.secrets, "secret_base", "secret_spans"),
