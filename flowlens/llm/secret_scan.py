@@ -1,7 +1,8 @@
 """Secrets: fixed patterns, and strings whose windows are too random to be written by hand.
 
-Candidate strings are searched with a sliding window of WINDOW characters per character class
-(hexadecimal, or letters, digits and the signs of base 64). The window's Shannon entropy is kept
+Every maximal run of a character class (hexadecimal in lower or in upper case, or letters, digits
+and the signs of base 64) is searched with a sliding window of WINDOW characters and has its class's
+limit, also where it is part of a longer run of another class. The window's Shannon entropy is kept
 by counts: a step takes one character out and one in, and changes the sum of n log n by two
 terms. Strings of known harmless forms are suppressed. DataFrame expressions only, row by row.
 """
@@ -23,18 +24,23 @@ ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
 LEAST_VALUE = 6
 WINDOW = 20
-_SIGN = "[A-Za-z0-9+/_=-]"
-CANDIDATE = rf"(?<!{_SIGN})(?=[A-Za-z+/_=-]*+[0-9]){_SIGN}{{{WINDOW},}}+"
-ONLY_HEX = "^(?:[0-9a-f]+|[0-9A-F]+)$"
+_SIGN = "[A-Za-z0-9+/_-]"  # = only stands behind, so that name= in front is no part of a value
+RUNS = {
+    "hex": [rf"[0-9a-f]{{{WINDOW},}}+", rf"[0-9A-F]{{{WINDOW},}}+"],
+    "base64": [rf"(?<!{_SIGN})(?:{_SIGN}{{{WINDOW},}}+=*+|{_SIGN}{{{WINDOW - 1}}}=++|{_SIGN}{{{WINDOW - 2}}}={{2,}}+)"],
+}
+ONLY_HEX = "^(?:[0-9a-f]+|[0-9A-F]+)=*$"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LIMITS = {"hex": 3.0, "base64": 3.85}  # bits a character, of at most log2(WINDOW) = 4.32
 # fixed values: forms that look random and are no secrets
+HARMLESS = "(?i:example|sample|dummy|placeholder|changeme)"
 ALLOWED = [
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|sample|dummy|placeholder|changeme",
+    HARMLESS,
     r"0123456789|(?i:abcdefghij)",
     r"^[0-9+/_=-]+$",
     r"^(?:[A-Za-z]+[_/-])+[A-Za-z0-9]{1,12}$",
+    r"^(?:[a-z]{2,}|[A-Z][a-z]{2,})(?:[A-Z][a-z]{2,})+$",
 ]
 
 
@@ -69,21 +75,22 @@ def peak_entropy(value: Column) -> Column:
 
 def entropy_spans(text: Column) -> Column:
     allowed = lambda v: F.regexp_like(v, F.lit("|".join(f"(?:{p})" for p in ALLOWED)))
-    open_ones = F.filter(matches(text, CANDIDATE), lambda s: ~allowed(s["text"]))
-    is_hex = lambda s: F.regexp_like(s["text"], F.lit(ONLY_HEX))
-    scored = F.transform(open_ones, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), F.when(is_hex(s), "hex").otherwise("base64").alias("class"),
-        peak_entropy(s["text"]).alias("bits"),
-    ))
+    named = lambda s: F.regexp_like(s["before"], F.lit(rf"{HARMLESS}[A-Za-z0-9+/_=-]*$"))
     out = []
     for order, (name, limit) in enumerate(LIMITS.items(), len(BASE)):
-        random = _above(name, limit)
-        out.append(as_spans(F.filter(scored, random), order, f"entropy_{name}", lambda s: s["bits"] / math.log2(WINDOW)))
+        for pattern in RUNS[name]:
+            skip = named if name == "hex" else lambda s: F.regexp_like(s["text"], F.lit(ONLY_HEX))
+            open_ones = F.filter(matches(text, pattern), lambda s: ~allowed(s["text"]) & ~skip(s))
+            scored = F.transform(open_ones, lambda s: F.struct(
+                s["start"].alias("start"), s["end"].alias("end"), peak_entropy(s["text"]).alias("bits"),
+            ))
+            random = _above(limit)
+            out.append(as_spans(F.filter(scored, random), order, f"entropy_{name}", lambda s: s["bits"] / math.log2(WINDOW)))
     return F.concat(*out)
 
 
-def _above(name: str, limit: float):
-    return lambda s: (s["class"] == name) & (s["bits"] >= limit)
+def _above(limit: float):
+    return lambda s: s["bits"] >= limit
 
 
 def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:

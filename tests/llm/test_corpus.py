@@ -197,6 +197,27 @@ def test_entropy(spark):
     assert [r["h"] for r in df.collect()] == pytest.approx(want, abs=1e-9)
 
 
+def test_entropy_per_class(spark):
+    import math
+    from collections import Counter
+
+    rng, texts = random.Random(9), []
+    for n in (32, 40, 64):
+        for front in ("", "key=", "id-", "x/"):
+            for signs in ("0123456789ABCDEF", "0123456789abcdef"):
+                texts += [(front, "".join(rng.choice(signs) for _ in range(n))) for _ in range(10)]
+    texts += [("k=", "QwErTyUiOpZxCvBnMaSdFgHjKl"), ("", "hJkPqWzXcVbNmRtYuGfDsEaL")]
+    harmless = ["getElementsByTagNameAndClass", "id-" + "7" * 30, "example-" + texts[0][1], "path/to/some/longer/folder/name"]
+    rows = [(i, f"see {f}{s}, end") for i, (f, s) in enumerate(texts)] + [(1000 + i, x) for i, x in enumerate(harmless)]
+    got = by_id(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    w = secret_scan.WINDOW
+    for i, (f, s) in enumerate(texts):
+        bits = max(-sum(c / w * math.log2(c / w) for c in Counter(s[k : k + w]).values()) for k in range(len(s) - w + 1))
+        found = [x for x in got[i]["secret_spans"] if x["kind"].startswith("entropy") and x["start"] <= 4 + len(f) and x["end"] == 4 + len(f) + len(s)]
+        assert found or bits < 3.0, texts[i]
+    assert not any(x["kind"].startswith("entropy") for i in range(len(harmless)) for x in got[1000 + i]["secret_spans"])
+
+
 def test_licenses(docs, rows):
     assert len(licenses.rules()) > 300
     for r in licenses.rules():  # the gate lets every signature through
