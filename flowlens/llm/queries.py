@@ -111,6 +111,33 @@ def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@_query
+def op11_prefix_tree(spark: SparkSession, sf: str) -> DataFrame:
+    from flowlens.llm import prefix_tree
+
+    return prefix_tree.report(_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+@_query
+def op12_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    from flowlens.llm import decontaminate
+
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return decontaminate.decisions(docs, _table(spark, sf, "benchmark").select("item_id", "text"))
+
+
+@_query
+def op13_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    from flowlens.llm import infill
+
+    made = infill.transform(_table(spark, sf, "documents").select("doc_id", "text"))
+    back = infill.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
 ORACLES["op1_mix_sources"] = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, source, coalesce(text, '') AS text,
@@ -190,3 +217,51 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
        CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = best THEN NULL ELSE best END AS refers_to
 FROM b"""
+
+ORACLES["op12_decontaminate"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+s AS (
+  SELECT DISTINCT item, size, array_to_string(w[i : i + size - 1], ' ') AS phrase
+  FROM (SELECT item, w, least(len(w), 10) AS size, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+p AS (
+  SELECT r, i, size, array_to_string(w[i : i + size - 1], ' ') AS phrase
+  FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM s))),
+h AS (SELECT r, i, size, item FROM p JOIN s USING (size, phrase)),
+c AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest(range(i, i + size)) AS place FROM (SELECT DISTINCT r, i, size FROM h)) GROUP BY r),
+n AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(n.n, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, c.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN n USING (r)"""
+
+ORACLES["op13_fill_in_middle"] = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u
+  FROM documents),
+c AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS x,
+         CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS y,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                   OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+              WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM t),
+p AS (
+  SELECT *, coalesce(array_to_string(u[1 : least(x, y)], ''), '') AS pre,
+         coalesce(array_to_string(u[least(x, y) + 1 : greatest(x, y)], ''), '') AS mid,
+         coalesce(array_to_string(u[greatest(x, y) + 1 : n], ''), '') AS suf
+  FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p"""

@@ -155,3 +155,76 @@ def licenses(text):
                 at.append(i)
                 labels.add(label)
     return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
+
+
+PLAIN_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def contamination(docs, bench, n=10):
+    """[(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)] of rows (id, text)."""
+    windows = defaultdict(set)
+    for item, text in bench:
+        w = PLAIN_WORD.findall((text or "").translate(LOWER))
+        size = min(n, len(w))
+        for i in range(len(w) - size + 1 if size else 0):
+            windows[tuple(w[i : i + size])].add("" if item is None else str(item))
+    out = []
+    for i, text in docs:
+        w = PLAIN_WORD.findall((text or "").translate(LOWER))
+        hit, items = set(), set()
+        for size in {len(k) for k in windows}:
+            for at in range(len(w) - size + 1):
+                found = windows.get(tuple(w[at : at + size]))
+                if found:
+                    hit |= set(range(at, at + size))
+                    items |= found
+        out.append((i, len(w), len(hit), len(items), sha(",".join(sorted(items))), bool(hit)))
+    return out
+
+
+def infill(doc_id, text):
+    """(n, form, prefix_chars, middle_chars, output) of one row."""
+    text = text or ""
+    h = sha(f"1:{'' if doc_id is None else doc_id}")
+    h1, h2, h3, h4 = (int(h[i : i + 8], 16) for i in (0, 8, 16, 24))
+    u = re.findall(r"[A-Za-z]+|[^A-Za-z]", text)
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+        return len(u), "plain", None, None, text
+    a, b = sorted((h1 % (len(u) + 1), h2 % (len(u) + 1)))
+    p, m, s = ("".join(x) for x in (u[:a], u[a:b], u[b:]))
+    if h4 % 100 < 20:
+        return len(u), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return len(u), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def prefix_tree(rows):
+    """Rows of op11 from (conv_id, turn, role, text)."""
+    import zlib
+
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            own[c].append((turn is not None, turn or 0, role, sha(f"{len(role)}:{role}{text}"), text))
+    own = {c: [(r, t) for *_, r, _, t in sorted(v)] for c, v in own.items()}
+    made = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        base = abs(c) // 100 * 100 * (1 if c >= 0 else -1)
+        made[c] = own.get(base, [])[:h] + turns[h:]
+    members = defaultdict(list)
+    for c, turns in made.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    total = {p: [0, 0] for p in members}
+    kids = Counter(p[:-1] for p in members if p)
+    for p, m in members.items():
+        own_saved = (len(m) - 1) * len(p[-1][1]) if p else 0
+        for d in range(len(p) + 1):
+            total[p[:d]][0] += not kids[p]
+            total[p[:d]][1] += own_saved
+    out = []
+    for p, m in members.items():
+        ends = sorted(c for c in m if len(made[c]) == len(p))
+        out.append((min(m), len(p), min(members[p[:-1]]) if p else None, len(m), kids[p], *total[p], sha(",".join(map(str, ends)))))
+    return out
