@@ -265,3 +265,39 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGIN
                         ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
        sha256(text) AS restored_sha256
 FROM p"""
+
+ORACLES["op11_prefix_tree"] = r"""
+WITH r AS (
+  SELECT conv_id, role, text, row_number() OVER (
+           PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS place
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(
+           str_split(CAST(conv_id AS VARCHAR), ''), lambda d: [CAST(256 + ascii(d) AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0]))),
+           lambda s, x: CASE WHEN x > 0 THEN xor(s, x - 256) WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END),
+         CAST(4294967295 AS BIGINT)) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM r)),
+m AS (
+  SELECT c.conv_id, 0 AS own, place, role, text FROM c JOIN r ON r.conv_id = c.conv_id - c.conv_id % 100 AND place <= h
+  UNION ALL SELECT conv_id, 1, place, role, text FROM c JOIN r USING (conv_id) WHERE place > h),
+d AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY own, place) AS depth FROM m),
+p AS (
+  SELECT conv_id, depth, length(text) AS chars, sha256(string_agg(length(role) || ':' || length(text) || ':' || role || text, '')
+           OVER (PARTITION BY conv_id ORDER BY depth)) AS prefix
+  FROM d
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+q AS (
+  SELECT *, lag(prefix) OVER (PARTITION BY conv_id ORDER BY depth) AS above,
+         depth = max(depth) OVER (PARTITION BY conv_id) AS final FROM p),
+n AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(above) AS above, max(chars) AS chars,
+         string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (final) AS ends
+  FROM q GROUP BY prefix, depth),
+k AS (SELECT above AS prefix, count(*) AS n FROM n WHERE above IS NOT NULL GROUP BY above),
+v AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM n LEFT JOIN k USING (prefix)),
+t AS (
+  SELECT a.prefix, sum(CASE WHEN v.n_children = 0 THEN 1 ELSE 0 END) AS leaves, sum((v.n_convs - 1) * v.chars) AS saved
+  FROM v JOIN p a ON a.conv_id = v.conv_id AND a.depth <= v.depth GROUP BY a.prefix)
+SELECT v.conv_id, v.depth, o.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM v JOIN t USING (prefix) LEFT JOIN v o ON o.prefix = v.above"""
