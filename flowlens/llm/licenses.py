@@ -18,6 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.llm.common import ascii_lower, text_or_empty, without_names
+from flowlens.llm.spans import let, running
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
@@ -151,16 +152,15 @@ def detections(words: Column, present: Column) -> Column:
 def unsuppressed(found: Column) -> Column:
     """Detections that lie inside none of the same or a better priority. In the order by start and
     falling end, that is one whose end is beyond all ends seen of those priorities."""
-    start = F.struct(F.array_repeat(F.lit(-1), len(TRUST)).alias("ends"), F.array().cast(_FOUND).alias("kept"))
-
-    def step(a: Column, x: Column) -> Column:
-        inside = F.exists(F.slice(a["ends"], F.lit(1), x["priority"] + 1), lambda e: e >= -x["less"])
-        return F.struct(
-            F.transform(a["ends"], lambda e, p: F.when(p == x["priority"], F.greatest(e, -x["less"])).otherwise(e)).alias("ends"),
-            F.when(inside, a["kept"]).otherwise(F.concat(a["kept"], F.array(x))).alias("kept"),
-        )
-
-    return F.aggregate(found, start, step)["kept"]
+    def kept(rows: Column) -> Column:
+        ends = F.transform(rows, lambda x: F.transform(  # of the detection's own and all worse priorities
+            F.sequence(F.lit(0), F.lit(len(TRUST) - 1)), lambda p: F.when(p >= x["priority"], -x["less"]).otherwise(-1)))
+        none = F.array_repeat(F.lit(-1), len(TRUST))
+        seen = running(ends, none, "array<int>", lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y)))
+        met = F.zip_with(rows, seen, lambda x, s: F.struct(x.alias("x"), (F.get(s, x["priority"]) < -x["less"]).alias("beyond")))
+        return F.transform(F.filter(met, lambda m: m["beyond"]), lambda m: m["x"]).cast(_FOUND)
+
+    return let(found, kept)
 
 
 def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:

@@ -2,7 +2,8 @@
 
 Everything is a DataFrame expression over one row; nothing is shuffled. The patterns look
 behind a start, so that a long run of letters or digits is entered once and not at each of
-its characters, and repeat groups a bounded number of times, so that no text is too long.
+its characters, and repeat groups either a bounded number of times or without giving any back, which the
+matcher does in a loop and not by calling itself, so that no text is too long.
 """
 
 from __future__ import annotations
@@ -10,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.llm.common import text_or_empty, without_names
-from flowlens.llm.spans import as_spans, matches, mentions, together, written
+from flowlens.llm.spans import NEAR, as_spans, matches, mentions, together, written
 
 BASE = ["email", "ip", "card", "phone"]
 KEPT_FROM = 0.5  # least score of spans of the kinds that aren't base kinds
 
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
-EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)+"
+EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 IP_PARTS = rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"
@@ -64,20 +65,24 @@ def mod97(number: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(number)), F.lit(0), add)
 
 
-def _kind(text: Column, order: int, kind: str, pattern: str, confirmed, start: float) -> Column:
-    """Confirmed matches as spans; a word of the kind before the match adds to the score."""
-    found = F.filter(matches(text, pattern), confirmed)
-    score = lambda s: F.lit(start) + F.when(mentions(s["before"], WORDS[kind]), 0.25).otherwise(0.0)
-    return as_spans(found, order, kind, score)
+def _nearby(s: Column, kind: str) -> Column:
+    """Whether a word of the kind stands near a match, on either side."""
+    return mentions(s["before"], WORDS[kind]) | mentions(s["after"], WORDS[kind])
 
 
-def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, *, text: str = "text", near: int = NEAR) -> DataFrame:
     """Adds pii_base and pii_spans, arrays of struct<start, order, kind, end, score>.
 
     Base kinds stay whatever their score; the others (iban by mod 97, ssn, phones without a
-    country) from KEPT_FROM on. A null text is empty and has no spans. Places count code
-    points. Caller columns of the added names are replaced.
+    country) from KEPT_FROM on. A word of its kind within ``near`` characters on either side (and
+    not beyond the next match) makes a span likelier. A null text is empty and has no spans, an empty
+    table no rows; a text may be of any length and hold any number of spans. Places count code
+    points. Repeated rows give equal rows. Caller columns of the added names are replaced.
     """
+    def _kind(text: Column, order: int, kind: str, pattern: str, confirmed, start: float) -> Column:
+        found = F.filter(matches(text, pattern, near=near), confirmed)
+        return as_spans(found, order, kind, lambda s: F.lit(start) + F.when(_nearby(s, kind), 0.25).otherwise(0.0))
+
     docs = without_names(docs, ["pii_base", "pii_spans"])
     t, plain = text_or_empty(text), lambda s: digits(s["text"])
     base = together(
@@ -90,7 +95,7 @@ def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
         _kind(t, 4, "iban", IBAN, lambda s: mod97(F.replace(s["text"], F.lit(" "), F.lit(""))) == 1, 0.7),
         _kind(t, 5, "ssn", SSN, lambda s: F.lit(True), 0.4),
         as_spans(
-            F.filter(matches(t, LOCAL_PHONE), lambda s: mentions(s["before"], WORDS["phone"])), 6, "local_phone",
+            F.filter(matches(t, LOCAL_PHONE, near=near), lambda s: _nearby(s, "phone")), 6, "local_phone",
             lambda s: F.lit(0.55),
         ),
     )
