@@ -259,16 +259,16 @@ def subtree_totals(tree: DataFrame, values: Sequence[str], *, log: list[tuple[in
             log.append((before, before - left))
         if left == before:
             raise ValueError("the links form a ring")
-    # what a node cut out in a round waits for is the total of a node that stayed in that round
-    known: list[DataFrame] = []
-    for turn in reversed(range(len(cut))):
-        if known:
-            after = reduce(DataFrame.unionByName, known)
-            below = after.select(F.col("node").alias("child"), *[F.col(v).alias(f"more_{v}") for v in names])
-            known.append(kept_table(cut[turn].join(below, "child").select(
-                "node", *[(F.col(v) + F.col(f"more_{v}")).alias(v) for v in names])))
-        known.append(raked[turn])
-    return reduce(DataFrame.unionByName, known) if known else live.select("node", *names)
+    # what a node cut out in a round waits for is the total of a node that stayed in that round; the
+    # known totals are one table after each step back, so plans stay small and the tables grow by a share
+    known = None
+    for rake, out in zip(reversed(raked), reversed(cut)):
+        if known is not None:
+            below = known.select(F.col("node").alias("child"), *[F.col(v).alias(f"more_{v}") for v in names])
+            solved = out.join(below, "child").select("node", *[(F.col(v) + F.col(f"more_{v}")).alias(v) for v in names])
+            rake = kept_table(known.unionByName(rake).unionByName(solved))
+        known = rake
+    return live.select("node", *names) if known is None else known
 
 
 def report(turns: DataFrame) -> DataFrame:
