@@ -43,9 +43,9 @@ def main() -> None:
         models.forget_models()
         took[name] = timed(lambda: produce(catalog.QUERIES[name](spark, SF)))
     models.forget_models()
-    took["tree_models_fit"] = timed(lambda: models.event_boxes(spark, SF))
+    took["tree_models_fit"] = timed(lambda: models.event_trees(spark, SF))
     took["forest_attribution"] = timed(
-        lambda: produce(models.event_attributions(spark, SF, "random_forest"))
+        lambda: produce(models.event_attributions(spark, SF, ["random_forest"]))
     )
     rows = models.event_vectors(spark, SF).count()
     print(

@@ -10,7 +10,6 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     OneVsRest,
     RandomForestClassifier,
 )
@@ -20,7 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flowlens.functions.quantiles import exact_quantiles
 from flowlens.functions.scores import argmax, confidence, baseline_gap, baseline_side
 from flowlens.functions.stats import clean_numeric
-from flowlens.operators import evaluate
+from flowlens.operators import evaluate, network
+from flowlens.operators.boosting import SoftmaxBoosting
 from flowlens.session import require_checkpoint_dir
 from flowlens.sources.state import shared
 
@@ -36,8 +36,14 @@ def _forest(classes, rows, **p):
 
 
 def _boosting(classes, rows, **p):
-    one = GBTClassifier(**{"maxIter": 100, "seed": SEED, "maxMemoryInMB": TREE_MEMORY_MB, **p})
-    return one if classes == 2 else OneVsRest(classifier=one, parallelism=min(classes, 8))
+    """Spark's booster for two classes, the softmax booster for more."""
+    if classes > 2:
+        return SoftmaxBoosting(classes=classes, **p)
+    return GBTClassifier(**{"maxIter": 100, "seed": SEED, "maxMemoryInMB": TREE_MEMORY_MB, **p})
+
+
+def _one_vs_rest(classes, rows, **p):
+    return OneVsRest(classifier=_boosting(2, rows, **p), parallelism=min(classes, 8))
 
 
 def _tree(classes, rows, **p):
@@ -56,14 +62,16 @@ FACTORIES = {
     "decision_tree": _tree,
     "logistic_regression": _logistic,
 }
+OTHERS = {"one_vs_rest_boosting": _one_vs_rest}  # by name only, in no set of models
 
 
 def get_model(name: str, classes: int = 2, rows: int | None = None, **params):
     """Estimator by name; forest depth is a parameter because Spark needs a bound (30 at most)."""
     key = ALIASES.get(name, name)
-    if key not in FACTORIES:
-        raise ValueError(f"unknown model {name!r}, choose from {list(FACTORIES)}")
-    return FACTORIES[key](classes, rows, **params)
+    known = FACTORIES | OTHERS
+    if key not in known:
+        raise ValueError(f"unknown model {name!r}, choose from {list(known)}")
+    return known[key](classes, rows, **params)
 
 
 def train(estimator, df: DataFrame, features: str = "features", label: str = "y"):
@@ -196,41 +204,14 @@ def fit_mlp(
     validation: Column,
     epochs: int = 50,
     patience: int = 5,
-    step: int = 20,
     hidden: Sequence[int] = tuple(HIDDEN),
-    block: int = 256,
+    batch: int = 256,
+    seed: int = SEED,
 ) -> Fitted:
-    """Multi-layer perceptron with early stopping.
-
-    Training continues from the previous weights ``step`` optimiser iterations at a time. A
-    round must have tens of them: the optimiser learns the curvature anew in each and takes
-    plain gradient steps until it has. Training stops after ``patience`` rounds without a better validation loss and returns the best
-    weights seen.
-    """
-    train_rows = df.where(~validation).select("features", "y")
-    check_rows = df.where(validation).select("features", "y")
-    best, best_loss, since, weights, history = None, float("inf"), 0, None, []
-    with shared(train_rows, check_rows):
-        width = len(train_rows.first()["features"])
-        layers = [width, *hidden, classes]
-        for epoch in range(1, epochs + 1):
-            net = MultilayerPerceptronClassifier(
-                layers=layers, maxIter=step, seed=SEED, blockSize=block,
-                featuresCol="features", labelCol="y",
-            )
-            if weights is not None:
-                net.setInitialWeights(weights)
-            model = net.fit(train_rows)
-            weights = model.weights
-            losses = [log_loss(score(model, part, ["y"])) for part in (train_rows, check_rows)]
-            history.append((epoch, *losses))
-            if losses[1] < best_loss:
-                best, best_loss, since = model, losses[1], 0
-            else:
-                since += 1
-            if since >= patience:
-                break
-    return Fitted(best, history)
+    """Multi-layer perceptron by mini-batches, stopped by the held-out loss; see ``network``."""
+    width = len(df.select("features").first()["features"])
+    shape = network.Shape((width, *hidden, classes))
+    return Fitted(*network.fit(df, shape, validation, epochs=epochs, patience=patience, batch=batch, seed=seed))
 
 
 def fit_boosting(df: DataFrame, validation: Column, **params) -> Fitted:

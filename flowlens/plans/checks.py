@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators import anomaly, encode, training
 from flowlens.plans.frames import EV, EV_NUM, LI, ev, li, table
-from flowlens.plans.models import TREE_PARAMS, event_attributions, event_models, event_vectors
+from flowlens.plans.models import TREE_NAMES, event_attributions, event_models, event_vectors
 from flowlens.plans.registry import query
 
 TREES = {
@@ -101,11 +101,8 @@ def attribution_adds_up(spark, sf):
     """Base and contributions of every row add up to the model's score, for all tree models."""
     models = event_models(spark, sf)
     target = training.score_all(models, event_vectors(spark, sf), ["row_id"])
-    parts = None
-    for name in TREE_PARAMS:
-        total = F.aggregate("items", F.col("base"), lambda s, i: s + i["contribution"])
-        one = event_attributions(spark, sf, name).select("row_id", F.lit(name).alias("model"), total.alias("total"))
-        parts = one if parts is None else parts.unionByName(one)
+    total = F.aggregate("items", F.col("base"), lambda s, i: s + i["contribution"])
+    parts = event_attributions(spark, sf, TREE_NAMES).select("row_id", "model", total.alias("total"))
     p = F.col("p")[1]
     # boosting explains its margin, half the log odds
     reached = F.when(F.col("model") == "gradient_boosting", 1 / (1 + F.exp(-2 * F.col("total")))).otherwise(F.col("total"))

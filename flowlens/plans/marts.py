@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from flowlens.fixed import UNKNOWN
 from flowlens.operators import contributions, evaluate, surrogate, training
@@ -41,31 +41,50 @@ def scored(models: Mapping[str, object], rows: DataFrame) -> DataFrame:
     return training.detail(training.score_all(models, rows))
 
 
-def explanation_ranks(parts: Mapping[str, DataFrame], k: int = 20) -> DataFrame:
-    out = None
-    for name, df in parts.items():
-        stats = contributions.feature_stats(df).withColumn("model", F.lit(name))
-        out = stats if out is None else out.unionByName(stats)
-    return contributions.global_rank(out, k, ("model",))
+def explanation_ranks(attributions: DataFrame, k: int = 20) -> DataFrame:
+    """Global ranks per model of attributions that name their model."""
+    return contributions.global_rank(contributions.feature_stats(attributions, by=("model",)), k, ("model",))
 
 
-def write_mart(df: DataFrame, path: str, by: str = "model") -> None:
-    """Partitioned by model so that a lookup reads one model's files."""
-    df.write.mode("overwrite").partitionBy(by).parquet(path)
+def write_mart(df: DataFrame, path: str, order: Sequence[str] = (), by: str = "model") -> None:
+    """Partitioned by model, and ordered inside, so that a lookup of a row reads one model's few files.
 
+    Only the partitions of models that occur in ``df`` are replaced, when all their files are there.
+    """
+    keys = [by, *order]
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+MART = {"global_rank": ("rank",), "waterfall": ("row_id", "rank"), "rules": ("row_id", "label", "feature")}
 
-def write_explanations(
-    attributions: Mapping[str, DataFrame], rules: Mapping[str, DataFrame], root: str, k: int = 12
-) -> None:
-    """Global ranks, per-row waterfalls and rule tables below ``root``, one folder each."""
-    write_mart(explanation_ranks(attributions), f"{root}/global_rank")
-    falls = [contributions.waterfall(d, k).withColumn("model", F.lit(n)) for n, d in attributions.items()]
-    tables = [surrogate.rule_table(d).withColumn("model", F.lit(n)) for n, d in rules.items()]
-    for name, frames in (("waterfall", falls), ("rules", tables)):
-        stacked = frames[0]
-        for f in frames[1:]:
-            stacked = stacked.unionByName(f)
-        write_mart(stacked, f"{root}/{name}")
+
+def write_explanations(attributions: DataFrame, rules: DataFrame, root: str, k: int = 12) -> None:
+    """Global ranks, per-row waterfalls and rule tables below ``root``, one folder each.
+
+    Both frames name their model; models that aren't in them keep what was written before.
+    """
+    tables = {
+        "global_rank": explanation_ranks(attributions), "waterfall": contributions.waterfall(attributions, k),
+        "rules": surrogate.rule_table(rules),
+    }
+    for name, df in tables.items():
+        write_mart(df, f"{root}/{name}", MART[name])
+
+
+def read_explanations(spark: SparkSession, root: str) -> DataFrame:
+    """All three tables as (model, part, row_id, label, rank, feature, number, text)."""
+    none = lambda kind: F.lit(None).cast(kind)
+    table = lambda n: spark.read.parquet(f"{root}/{n}")
+    ranks = table("global_rank").select(
+        "model", F.lit("global_rank").alias("part"), none("long").alias("row_id"), none("int").alias("label"), "rank", "feature",
+        F.col("mean_abs").alias("number"), none("string").alias("text"))
+    falls = table("waterfall").select(
+        "model", F.lit("waterfall"), F.col("row_id").cast("long"), none("int"), "rank", "feature", "contribution", none("string"))
+    rules = table("rules").select(
+        "model", F.lit("rules"), F.col("row_id").cast("long"), "label", none("int"), "feature", "weight",
+        F.concat_ws(" -> ", "condition", "direction"))
+    return ranks.union(falls).union(rules)
 
 
 @query("dataset_kpis", f"""WITH {EV}

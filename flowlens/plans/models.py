@@ -5,6 +5,7 @@ Fitted models are kept per table folder, because several queries explain the sam
 
 from __future__ import annotations
 
+import uuid
 from functools import wraps
 
 from pyspark.ml.functions import array_to_vector
@@ -14,6 +15,7 @@ from flowlens.operators import anomaly, attribution, clean, contributions, encod
 from flowlens.plans import marts
 from flowlens.plans.frames import EV_NUM, ev, table
 from flowlens.plans.registry import query
+from flowlens.session import require_checkpoint_dir
 from flowlens.sources import spread
 
 _KEPT: dict[tuple, object] = {}
@@ -124,7 +126,7 @@ def model_comparison(spark, sf):
 @_once
 def _item_network(spark, sf):
     rows = clean.part(item_vectors(spark, sf), "train")
-    return training.fit_mlp(rows, 2, F.pmod("row_id", F.lit(10)) == 0, epochs=5)
+    return training.fit_mlp(rows, 2, F.pmod("row_id", F.lit(10)) == 0)
 
 
 def _vectors(spark, sf):
@@ -144,7 +146,7 @@ def _vector_parts(spark, sf):
 @_once
 def _network(spark, sf):
     rows, _ = _vector_parts(spark, sf)
-    return training.fit_mlp(rows, 10, F.col("row_id") % 5 == 3, epochs=15)
+    return training.fit_mlp(rows, 10, F.col("row_id") % 5 == 3)
 
 
 @query("mlp_scores")
@@ -164,13 +166,19 @@ ONE_VS_REST_ROUNDS = 10
 
 @_once
 def _vector_models(spark, sf):
-    fewer = {"gradient_boosting": {"maxIter": ONE_VS_REST_ROUNDS}}
-    return training.train_all(_vector_parts(spark, sf)[0], ML_NAMES, 10, fewer)
+    return training.train_all(_vector_parts(spark, sf)[0], ML_NAMES, 10)
+
+
+@query("softmax_scores")
+def softmax_scores(spark, sf):
+    return training.score(_vector_models(spark, sf)["gradient_boosting"], _vector_parts(spark, sf)[1])
 
 
 @query("gbt_ovr_scores")
 def gbt_ovr_scores(spark, sf):
-    model = _vector_models(spark, sf)["gradient_boosting"]
+    name = "one_vs_rest_boosting"
+    fewer = {name: {"maxIter": ONE_VS_REST_ROUNDS}}
+    model = training.train_all(_vector_parts(spark, sf)[0], [name], 10, fewer)[name]
     return training.score(model, _vector_parts(spark, sf)[1])
 
 
@@ -199,11 +207,7 @@ def pca_anomaly(spark, sf):
 
 # --- explanations on events ---
 
-TREE_PARAMS = {
-    "random_forest": {"maxDepth": 5},
-    "gradient_boosting": {"maxIter": 20, "maxDepth": 4},
-    "decision_tree": {"maxDepth": 6},
-}
+TREE_NAMES = ["random_forest", "gradient_boosting", "decision_tree"]
 
 
 @_once
@@ -221,59 +225,59 @@ def event_vectors(spark, sf):
 
 @_once
 def event_models(spark, sf):
-    train = clean.part(event_vectors(spark, sf), "train")
-    return training.train_all(train, list(TREE_PARAMS), params=TREE_PARAMS)
+    """The tree models as the registry makes them: none is smaller for the sake of explanations."""
+    return training.train_all(clean.part(event_vectors(spark, sf), "train"), TREE_NAMES)
 
 
 @_once
-def event_boxes(spark, sf):
-    return {n: attribution.boxes_of(m) for n, m in event_models(spark, sf).items()}
+def event_trees(spark, sf):
+    return {n: attribution.trees_of(m) for n, m in event_models(spark, sf).items()}
 
 
-def event_attributions(spark, sf, name):
-    return attribution.attribute(
-        event_vectors(spark, sf), None, EV_NUM, keep=("origin", "y"), boxes=event_boxes(spark, sf)[name]
-    )
+def event_attributions(spark, sf, names):
+    """Contributions for every event by every named model, from one scan."""
+    trees = event_trees(spark, sf)
+    return attribution.attribute_all(
+        event_vectors(spark, sf), {n: trees[n] for n in names}, EV_NUM, keep=("origin", "y"))
+
+
+def _forest_attributions(spark, sf):
+    return event_attributions(spark, sf, ["random_forest"]).drop("model")
 
 
 @query("tree_attribution")
 def tree_attribution(spark, sf):
-    out = None
-    for name in TREE_PARAMS:
-        long = contributions.to_long(event_attributions(spark, sf, name)).withColumn("model", F.lit(name))
-        out = long if out is None else out.unionByName(long)
-    return out
+    return contributions.to_long(event_attributions(spark, sf, TREE_NAMES))
 
 
 @query("attribution_topk")
 def attribution_topk(spark, sf):
-    return contributions.topk(event_attributions(spark, sf, "random_forest"), 3)
+    return contributions.topk(_forest_attributions(spark, sf), 3)
 
 
 @query("attribution_waterfall")
 def attribution_waterfall(spark, sf):
-    return contributions.waterfall(event_attributions(spark, sf, "random_forest"), 4)
+    return contributions.waterfall(_forest_attributions(spark, sf), 4)
 
 
 @query("attribution_rank")
 def attribution_rank(spark, sf):
     """Global rank over all rows; the attribution job is distributed and needs no sample."""
-    parts = event_attributions(spark, sf, "random_forest")
+    parts = _forest_attributions(spark, sf)
     return contributions.global_rank(contributions.feature_stats(parts), 20)
 
 
 @query("attribution_points")
 def attribution_points(spark, sf):
-    return contributions.summary_points(event_attributions(spark, sf, "random_forest"), 3)
+    return contributions.summary_points(_forest_attributions(spark, sf), 3)
 
 
 @query("attribution_agreement")
 def attribution_agreement(spark, sf):
-    stats = [
-        contributions.feature_stats(event_attributions(spark, sf, n))
-        for n in ("random_forest", "gradient_boosting")
-    ]
-    return contributions.agreement_table(*stats, k=3)
+    names = ["random_forest", "gradient_boosting"]
+    stats = contributions.feature_stats(event_attributions(spark, sf, names), by=("model",))
+    one = lambda n: stats.where(F.col("model") == n).drop("model")
+    return contributions.agreement_table(*map(one, names), k=3)
 
 
 @_once
@@ -283,21 +287,20 @@ def event_context(spark, sf):
     return surrogate.Context.fit(train, scaler.outputs())
 
 
-def _surrogates(spark, sf, labels=None):
+def _surrogates(spark, sf, labels=None, names=("random_forest",)):
     """Rules for every test row."""
-    rows = clean.part(event_vectors(spark, sf), "test")
-    model = event_models(spark, sf)["random_forest"]
-    return surrogate.explain(rows, model, event_context(spark, sf), 5, labels, samples=500)
+    rows, models = clean.part(event_vectors(spark, sf), "test"), event_models(spark, sf)
+    return surrogate.explain_all(rows, {n: models[n] for n in names}, event_context(spark, sf), 5, labels)
 
 
 @query("local_surrogate")
 def local_surrogate(spark, sf):
-    return _surrogates(spark, sf, [0, 1])
+    return _surrogates(spark, sf, [0, 1]).drop("model")
 
 
 @query("rule_table")
 def rule_table(spark, sf):
-    return surrogate.rule_table(_surrogates(spark, sf))
+    return surrogate.rule_table(_surrogates(spark, sf).drop("model"))
 
 
 @query("attribution_vs_surrogate")
@@ -305,8 +308,8 @@ def attribution_vs_surrogate(spark, sf):
     """The strongest features of both methods side by side for every test row."""
     rows = clean.part(event_vectors(spark, sf), "test")
     name = "random_forest"
-    left = attribution.attribute(rows, None, EV_NUM, boxes=event_boxes(spark, sf)[name])
-    rules = _surrogates(spark, sf, [1]).withColumn("feature", F.regexp_replace("feature", "^z_", ""))
+    left = attribution.attribute(rows, None, EV_NUM, trees=event_trees(spark, sf)[name])
+    rules = _surrogates(spark, sf, [1]).drop("model").withColumn("feature", F.regexp_replace("feature", "^z_", ""))
     return contributions.pair_ranks(left, surrogate.as_items(rules), 5)
 
 
@@ -317,6 +320,8 @@ def scored_instances(spark, sf):
 
 @query("explanation_mart")
 def explanation_mart(spark, sf):
-    """Global ranks of every tree model over all events."""
-    parts = {n: event_attributions(spark, sf, n) for n in TREE_PARAMS}
-    return marts.explanation_ranks(parts)
+    """The mart of the three tree models: ranks and waterfalls of all events, rules of the test rows, as
+    read again from the folders they were written to."""
+    root = f"{require_checkpoint_dir(spark)}/explanations-{uuid.uuid4().hex}"
+    marts.write_explanations(event_attributions(spark, sf, TREE_NAMES), _surrogates(spark, sf, names=TREE_NAMES), root)
+    return marts.read_explanations(spark, root)

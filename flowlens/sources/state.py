@@ -60,9 +60,10 @@ def shared(*frames: DataFrame):
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over the session's shuffle partitions before work that is heavy per row.
+    """The rows over all of the session's tasks, before work that is heavy per row, if they come in fewer.
 
-    For rows that come from few files or blocks, such as one small table. The number is the
-    session's setting, so the plan is the same whatever the input and the executors present.
+    Only rows that one file or a few hold come in fewer parts than the session has tasks, so what is
+    moved is at most that many splits of a file; a large table stays where it is.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)

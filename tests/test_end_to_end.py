@@ -85,16 +85,14 @@ def test_text_to_marts(spark, tmp_path):
     flagged = detector.transform(test)
     assert flagged.where("flag = 1 and y = 1").count() > flagged.where("flag = 1 and y = 0").count()
 
-    parts = {
-        n: attribution.attribute(test, models[n], cols, keep=("y",))
-        for n in ("random_forest", "gradient_boosting", "decision_tree")
-    }
+    trees = {n: attribution.trees_of(models[n]) for n in ("random_forest", "gradient_boosting", "decision_tree")}
+    parts = attribution.attribute_all(test, trees, cols, keep=("y",))
     context = surrogate.Context.fit(train, scaler.outputs())
     one = test.orderBy("row_id").limit(3)
-    rules = {"random_forest": surrogate.explain(one, models["random_forest"], context, 15, samples=300)}
-    assert rules["random_forest"].groupBy("row_id").count().where("count = 15").count() == 3
+    rules = surrogate.explain_all(one, {"random_forest": models["random_forest"]}, context, 15, samples=300)
+    assert rules.groupBy("row_id").count().where("count = 15").count() == 3
     marts.write_explanations(parts, rules, f"{tmp_path}/marts")
     top = spark.read.parquet(f"{tmp_path}/marts/global_rank").where("rank = 1")
     assert {r["feature"] for r in top.collect()} == {"count"}
-    ranked = contributions.topk(parts["random_forest"], 12)
+    ranked = contributions.topk(parts.where("model = 'random_forest'"), 12)
     assert ranked.groupBy("row_id").count().where("count <> 12").count() == 0
