@@ -1,23 +1,28 @@
 """Exact linear quantiles whose memory need does not grow with the table.
 
 Spark's ``percentile`` keeps one map entry per distinct value and merges them in one task.
-Here a small mergeable sketch names two values around the wanted ranks and a counting scan
-tells how many rows lie below, on and between them. A frequent value is usually named by
-both ends, which settles the quantile at once; otherwise the step repeats strictly between
-the ends until few rows are left, and those are ranked. The sketch only proposes: the counts
-decide, so the result is exact. Sketches meet in two levels, never all in one task. Every
-column and group shares each scan, and only scalars reach the driver.
+Here a small mergeable sketch names two values around the wanted ranks (first scan), and a second scan
+counts the rows below and on them and writes the values strictly between them, a small share of the table. A
+frequent value is usually named by both ends, which settles the quantile at once; otherwise
+the search goes on in the written values alone, until few are left, and those are ranked. The
+sketch only proposes: the counts decide, so the result is exact; where it missed, which the counts
+tell, that quantile is scanned for again with wider ends. Sketches meet in two levels, never all in
+one task. Every column and group shares each scan, and only scalars reach the driver.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+
+from flowlens.sources.state import discard
+from flowlens.session import require_checkpoint_dir
 
 SKETCH_SIZE = 2000
 RANKED_ROWS = 1_000_000
@@ -138,16 +143,88 @@ def _search(frame: DataFrame, probs: Sequence[float], size: int, ranked_rows: in
                 s = _Search(c, g, i, (math.floor(at), math.ceil(at)), n, margin)
                 searches.setdefault((g, c), []).append((s, at))
                 proposals.append((s, *row[f"b_{c}"][2 * i : 2 * i + 2]))
-    todo = [s for s, _, _ in proposals]
+    while proposals:
+        missed = _scan(frame, proposals, size, ranked_rows)
+        proposals = _propose(frame, missed, size) if missed else []
+    return {pair: [s.between(at) for s, at in members] for pair, members in searches.items()}
+
+
+def _slots(proposals: list[tuple]) -> dict[tuple, list[tuple]]:
+    slots: dict[tuple, list[tuple]] = {}
+    for s, lo, hi in proposals:
+        slots.setdefault((s.column, s.slot), []).append((s, lo, hi))
+    return slots
+
+
+def _scan(frame: DataFrame, proposals: list[tuple], size: int, ranked_rows: int) -> list[_Search]:
+    """One scan that counts around the proposed ends and writes what lies between; finishes the search
+    in what was written. Returns the searches that the sketch missed."""
+    slots, spark = _slots(proposals), frame.sparkSession
+    grouped = proposals[0][0].group is not None
+    ends = [{m.group: (lo, hi) for m, lo, hi in members} for members in slots.values()]
+    joined, bounds = _with_ends(frame, ends, grouped)
+    asked, near = [], []
+    for i, ((column, _), (low, high)) in enumerate(zip(slots, bounds)):
+        c = F.col(column)
+        near.append((c > low) & (c < high))
+        for j, group in enumerate(ends[i]):
+            mine = F.col("g") == F.lit(group) if grouped else F.lit(True)
+            asked += [
+                F.count_if(mine & (c < low)).alias(f"u{i}_{j}"), F.count_if(mine & (c == low)).alias(f"l{i}_{j}"),
+                F.count_if(mine & (c == high) & (high > low)).alias(f"h{i}_{j}"),
+            ]
+    seen, path = Observation(), f"{require_checkpoint_dir(spark)}/between-{uuid.uuid4().hex}"
+    key = F.col("g").cast("string") if grouped else F.lit("")
+    tagged = F.array(*[
+        F.struct(F.concat(F.lit(f"{i}|"), key).alias("g"), F.when(near[i], F.col(column)).alias("v0"))
+        for i, (column, _) in enumerate(slots)
+    ])
+    inside = joined.observe(seen, *asked).where(reduce(or_, near)).select(F.explode(tagged).alias("t")).select("t.*").where("v0 IS NOT NULL")
+    inside.write.parquet(path)
+    try:
+        between, counts = spark.read.schema(inside.schema).parquet(path), seen.get
+        rows = between.groupBy("g").agg(F.count("v0").alias("n"), F.min("v0").alias("a"), F.max("v0").alias("z")).collect()
+        found, missed, rest = {r["g"]: (r["n"], r["a"], r["z"]) for r in rows}, [], []
+        for i, members in enumerate(slots.values()):
+            order = list(ends[i])
+            for s, lo, hi in members:
+                j, name = order.index(s.group), f"{i}|{'' if s.group is None else _text(s.group)}"
+                mid, least, most = found.get(name, (0, None, None))
+                if not _step(s, lo, hi, counts[f"u{i}_{j}"], counts[f"l{i}_{j}"], mid, counts[f"h{i}_{j}"], least, most):
+                    missed.append(s)
+                elif s.open():
+                    rest.append((s, name))
+        if rest:
+            _finish(between, rest, size, ranked_rows)
+        return missed
+    finally:
+        discard(spark, path)
+
+
+def _text(group: object) -> str:
+    """A group's value as Spark casts it to a string."""
+    return str(group).lower() if isinstance(group, bool) else str(group)
+
+
+def _finish(between: DataFrame, rest: list[tuple[_Search, str]], size: int, ranked_rows: int) -> None:
+    """The order statistics that lie among the written values (g, v0)."""
+    inner = []
+    for s, name in rest:
+        lacking = [j for j in (0, 1) if s.values[j] is None]
+        ranks = tuple(s.ranks[j] - s.below for j in (lacking[0], lacking[-1]))
+        inner.append((s, lacking, _Search("v0", name, 0, ranks, s.inside, s.margin, 0, s.low, s.high)))
+    todo = [t for *_, t in inner]
     while todo:
-        _count(frame, proposals)
-        todo = [s for s in todo if s.open()]
-        few = [s for s in todo if s.low is not None and s.inside <= ranked_rows]
+        few = [t for t in todo if t.inside <= ranked_rows]
         if few:
-            _rank(frame, few)
-            todo = [s for s in todo if s.open()]
-        proposals = _propose(frame, todo, size) if todo else []
-    return {pair: [s.between(at) for s, at in members] for pair, members in searches.items()}
+            _rank(between, few)
+            todo = [t for t in todo if t.open()]
+        if todo:
+            _count(between, _propose(between, todo, size))
+            todo = [t for t in todo if t.open()]
+    for s, lacking, t in inner:
+        for j in lacking:
+            s.values[j] = t.values[0 if j == lacking[0] else 1]
 
 
 def _propose(frame: DataFrame, searches: list[_Search], size: int) -> list[tuple]:
@@ -171,9 +248,7 @@ def _count(frame: DataFrame, proposals: list[tuple]) -> None:
 
     Groups share one aggregate per column and quantile, with their own ends by group value.
     """
-    slots: dict[tuple, list[tuple]] = {}
-    for s, lo, hi in proposals:
-        slots.setdefault((s.column, s.slot), []).append((s, lo, hi))
+    slots = _slots(proposals)
     grouped = proposals[0][0].group is not None
     ends = [{m.group: (lo, hi) for m, lo, hi in members} for members in slots.values()]
     frame, bounds = _with_ends(frame, ends, grouped)
@@ -214,13 +289,14 @@ def _with_ends(frame: DataFrame, ends: list[dict], grouped: bool):
     return joined, [(F.col(f"lo{i}"), F.col(f"hi{i}")) for i in range(len(ends))]
 
 
-def _step(s: _Search, lo, hi, under, on_lo, mid, on_hi, least, most) -> None:
+def _step(s: _Search, lo, hi, under, on_lo, mid, on_hi, least, most) -> bool:
+    """Settles what the counts tell, else steps between the ends; false if the ranks lie beyond them."""
     first_mid = under + on_lo
     first_hi = first_mid + (mid or 0)
     end = first_hi + (on_hi or 0)
     if s.ranks[0] < under or s.ranks[1] >= end:  # the sketch missed: ask wider next time
         s.margin = min(1.0, s.margin * 10)
-        return
+        return False
     for j, r in enumerate(s.ranks):
         if r < first_mid:
             s.values[j] = lo
@@ -232,6 +308,7 @@ def _step(s: _Search, lo, hi, under, on_lo, mid, on_hi, least, most) -> None:
             s.values[j] = most
     if s.open():
         s.low, s.high, s.below, s.inside = least, most, first_mid, mid
+    return True
 
 
 def _rank(frame: DataFrame, searches: list[_Search]) -> None:

@@ -59,6 +59,12 @@ def shared(*frames: DataFrame):
             f.unpersist()
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of rows that are no longer needed."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows over all of the session's tasks, before work that is heavy per row, if they come in fewer.
 

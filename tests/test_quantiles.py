@@ -53,3 +53,23 @@ def test_any_values(spark, values):
         frame(spark, {"v": values}, 3), {"v": F.col("v")}, PROBS, sketch_size=8, ranked_rows=2
     )
     assert np.allclose(got["v"], np.quantile(np.array(values), PROBS), rtol=1e-12, atol=1e-9)
+
+
+def test_two_scans_of_the_source(spark):
+    """Values without a frequent one: the sketch and one count read the rows, the rest what was written."""
+    rng, n = np.random.default_rng(8), 20_000
+    values, groups = rng.normal(size=n), rng.integers(0, 3, size=n)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def read(v):
+        seen.add(1)
+        return v
+
+    df = spark.createDataFrame([(float(v), int(g)) for v, g in zip(values, groups)], "v double, k int").repartition(4)
+    got = exact_quantiles(df, {"v": read("v")}, PROBS, sketch_size=200, ranked_rows=50)
+    assert np.allclose(got["v"], np.quantile(values, PROBS), rtol=0, atol=1e-12) and seen.value == 2 * n
+    by = exact_quantiles(df, {"v": read("v")}, PROBS, F.col("k"), [0, 1, 2], sketch_size=200, ranked_rows=50)
+    for k in range(3):
+        assert np.allclose(by[k, "v"], np.quantile(values[groups == k], PROBS), rtol=0, atol=1e-12)
+    assert seen.value == 4 * n
