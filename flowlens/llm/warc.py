@@ -1,11 +1,13 @@
 """Web archives: a deterministic sharded writer, and a reader.
 
-Pages are placed in shards by ranges of their id, sorted inside a shard, and written as one
-gzip member per record; a file is closed once its compressed size reaches a limit and the
-shard goes on in the next. Headers, ids, dates and digests are made anew from the page, so the
-same pages give the same bytes, whoever writes them. A task writes under a name of its own
-attempt; only names that a finished task reported are moved to their final place, and a
-manifest, moved last, lists them. Readers read what the manifest lists.
+Pages in the order of id, digest and address are cut into shards of equal payload, and each shard is
+written by one task as one gzip member per record; a file is closed once its compressed size reaches a
+limit and the shard goes on in the next. The cuts are running sums of sizes and come from the pages
+and the shard size alone. Headers, ids, dates and digests are made anew from the page, so the
+same pages give the same files of the same bytes, whoever writes them and with whatever settings. A task writes under
+a name of its own attempt; only names that a finished task reported are moved to their final place, in
+a folder named after the pages, and a manifest, moved last, lists them. Readers read what the
+manifest lists. A folder that has a manifest is not written to again.
 
 Of pages with equal payloads only one, that with the largest id, carries it; the others are
 ``revisit`` records that name it.
@@ -14,6 +16,7 @@ Of pages with equal payloads only one, that with the largest id, carries it; the
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import re
 import uuid
@@ -21,14 +24,15 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from flowlens.llm.common import kept_table, lookup, possible_member, with_python
 
 DATE = "2024-01-01T00:00:00Z"
 SHARD_BYTES = 64 << 20  # payload per shard, about
 ROLL_BYTES = 16 << 20  # compressed size at which a file is closed
-RANGES = 4096  # ranges of ids whose sizes the driver sees
+MOST_TASKS = 100_000  # beyond it, a task writes several shards one after the other
+ORDER = ["page_id", "sha1", "url"]
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -115,28 +119,45 @@ def members(stream) -> Iterator[bytes]:
         raise ValueError("the file ends inside a record")
 
 
-def _shards(slim: DataFrame, shard_bytes: int) -> tuple[Column, DataFrame, int]:
-    """A range number per row, the shards of each range, and their number.
+def _place(page: int | None, sha1: str, url: str | None) -> tuple:
+    """A page's place in the order, nulls first."""
+    return page is not None, page or 0, sha1, url is not None, url or ""
 
-    Ids are cut into RANGES ranges of equal width; a range with more bytes than a shard is cut
-    into equal parts again. Only the bytes of the ranges reach the driver.
+
+def _starts(slim: DataFrame, shard_bytes: int) -> list[tuple]:
+    """The place of every shard's first page: pages whose sizes sum to less than a multiple of
+    ``shard_bytes`` in front of them belong to the shard of that multiple.
+
+    Sums run inside sorted ranges; the driver gets a number for each range and a place for each shard. How
+    the ranges were drawn makes no difference to the sums.
     """
-    lo, hi, total = slim.agg(F.min("page_id"), F.max("page_id"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // RANGES))
-    offset = F.coalesce(F.col("page_id") - F.lit(lo or 0), F.lit(0))
-    cell = F.floor(offset / width).cast("long")
-    sizes = slim.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n")).orderBy("cell").collect()
-    per = max(1, min(shard_bytes, -(-total // int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
-    rows, done, shard = [], 0, 0
-    for c, n in sizes:
-        parts = max(1, n // per)
-        shard = max(shard, done // per) if parts == 1 else shard + 1
-        rows.append((c, shard, parts))
-        shard += parts - 1
-        done += n
-    table = slim.sparkSession.createDataFrame(rows or [(0, 0, 1)], "cell long, first long, parts long")
-    inside = F.floor((offset - F.col("cell") * width) * F.col("parts") / width).cast("long")
-    return cell, table.withColumn("_w", F.lit(width)), inside, shard + 1
+    order = [F.col(c).asc_nulls_first() for c in ORDER]
+    ranged = kept_table(slim.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    sizes, offset, before = ranged.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect(), 0, []
+    for part, n in sizes:
+        before.append((part, offset))
+        offset += n
+    spark = slim.sparkSession
+    parts = spark.createDataFrame(before or [(0, 0)], "part int, offset long")
+    # pages equal in all three are one place, so they stay together
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    equal = F.sum("n").over(Window.partitionBy("part", *ORDER))
+    summed = ranged.select(*ORDER, "part", (inside - equal).alias("inside")).join(F.broadcast(parts), "part")
+    shard = F.floor((F.col("offset") + F.col("inside")) / shard_bytes)
+    null = [F.struct(F.col(c).isNotNull().alias("there"), F.col(c).alias("value")).alias(c) for c in ORDER]
+    first = summed.groupBy(shard.alias("shard")).agg(F.min(F.struct(*null)).alias("at")).orderBy("shard")
+    return [_place(*(r["at"][c]["value"] for c in ORDER)) for r in first.collect()]
+
+
+def _version(slim: DataFrame) -> str:
+    """A name that the pages alone give."""
+    mark = lambda i: F.bit_xor(F.xxhash64(F.lit(i), *ORDER))
+    return hashlib.sha1(repr(tuple(slim.agg(F.count(F.lit(1)), F.sum("n"), mark(1), mark(2)).first())).encode()).hexdigest()[:16]
+
+
+def _has_manifest(spark: SparkSession, out: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/_manifest")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def write(
@@ -147,28 +168,38 @@ def write(
 
     ``out`` is a folder that driver and executors share. A null html is empty; a null page id
     sorts first and is never preferred; of equal payloads (from ``min_bytes`` on) the
-    largest id is the response, and rows that repeat that id too. No pages, no files.
+    largest id is the response, and rows that repeat that id too. No pages, no files. Pages of one id are
+    cut into shards like others; only rows equal in id, payload and address stay together. A folder
+    that already holds an archive is refused before anything is written.
     """
     spark = pages.sparkSession
+    if _has_manifest(spark, out):
+        raise FileExistsError(f"an archive is already in {out}")
     with_python(spark)
     named = pages.select(
         F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
         F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"),
     ).withColumns({"sha1": F.sha1("payload"), "n": F.octet_length("payload").cast("long")})
-    slim = kept_table(named.select("page_id", "sha1", "n"))
+    slim = kept_table(named.select(*ORDER, "n"))
     groups = slim.where(F.col("n") >= min_bytes).groupBy("sha1", "n").agg(F.count(F.lit(1)).alias("copies"), F.max("page_id").alias("best"))
     groups = kept_table(groups.where("copies > 1"))
-    cell, table, inside, shards = _shards(slim, shard_bytes)
+    starts, folder = _starts(slim, shard_bytes), _version(slim)
+    told = spark.sparkContext.broadcast(starts)
+
+    @F.arrow_udf("long")
+    def shard_of(page: pa.Array, sha1: pa.Array, address: pa.Array) -> pa.Array:
+        places = map(_place, page.to_pylist(), sha1.to_pylist(), address.to_pylist())
+        return pa.array([bisect.bisect_right(told.value, p) - 1 for p in places], pa.int64())
+
     key = F.xxhash64("sha1", "n")
     rows = possible_member(named.withColumn("key", key), "key", groups.withColumn("key", key), "several")
     total = slim.count()
     met = lookup(rows.where("several"), groups, ["sha1", "n"], "copies", total, "left")
     rows = met.unionByName(rows.where("NOT several"), allowMissingColumns=True)
-    rows = rows.select("page_id", "url", "payload", "best", cell.alias("cell")).join(F.broadcast(table), "cell", "left")
-    rows = rows.select("page_id", "url", "payload", "best", (F.coalesce("first", F.lit(0)) + F.coalesce(inside, F.lit(0))).alias("shard"))
-    placed = rows.repartition(shards, "shard").sortWithinPartitions(
-        "shard", "page_id", F.sha1("payload"), "url"
-    )
+    rows = rows.select("page_id", "url", "payload", "best", "sha1", shard_of(*ORDER).alias("shard"))
+    tasks = max(1, min(len(starts), MOST_TASKS))
+    placed = rows.repartitionById(tasks, F.floor(F.col("shard") * tasks / max(1, len(starts))).cast("int")).sortWithinPartitions(
+        "shard", *[F.col(c).asc_nulls_first() for c in ORDER]).drop("sha1")
     schema = "shard long, seq long, temp string, name string, bytes long, records long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,15 +236,16 @@ def write(
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["shard", "seq", "temp", "name", "bytes", "records"])
 
     written = kept_table(placed.mapInArrow(run, schema))
-    return _commit(spark, written, out)
+    return _commit(spark, written, out, folder)
 
 
-def _commit(spark: SparkSession, written: DataFrame, out: str) -> DataFrame:
+def _commit(spark: SparkSession, written: DataFrame, out: str, folder: str) -> DataFrame:
     """Moves the files of finished tasks to their names, then the manifest; each move can be repeated."""
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, base = file_system(out)
+        store.create_dir(f"{base}/{folder}")
         for batch in batches:
             for temp, name in zip(batch.column("temp").to_pylist(), batch.column("name").to_pylist()):
                 there = store.get_file_info([temp, f"{base}/{name}"])
@@ -223,13 +255,14 @@ def _commit(spark: SparkSession, written: DataFrame, out: str) -> DataFrame:
                     raise FileNotFoundError(temp)
             yield batch
 
-    moved = written.mapInArrow(move, written.schema)
+    named = written.withColumn("name", F.concat(F.lit(f"{folder}/"), "name"))
+    moved = named.mapInArrow(move, named.schema)
     hidden, final = f"{out}/_temporary/manifest", f"{out}/_manifest"
     moved.write.parquet(hidden)
     path = spark._jvm.org.apache.hadoop.fs.Path
     store = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.rename(path(hidden), path(final)):
-        raise OSError(f"an archive is already in {out}")
+    if _has_manifest(spark, out) or not store.rename(path(hidden), path(final)):
+        raise FileExistsError(f"an archive is already in {out}")
     store.delete(path(f"{out}/_temporary"), True)
     return spark.read.schema(written.schema).parquet(final)
 
