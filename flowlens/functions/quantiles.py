@@ -19,10 +19,10 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowlens.sources.state import discard
 from flowlens.session import require_checkpoint_dir
+from flowlens.sources.state import discard
 
 SKETCH_SIZE = 2000
 RANKED_ROWS = 1_000_000
@@ -163,34 +163,33 @@ def _scan(frame: DataFrame, proposals: list[tuple], size: int, ranked_rows: int)
     grouped = proposals[0][0].group is not None
     ends = [{m.group: (lo, hi) for m, lo, hi in members} for members in slots.values()]
     joined, bounds = _with_ends(frame, ends, grouped)
-    asked, near = [], []
+    by, asked, near = (["g"] if grouped else []), [], []
     for i, ((column, _), (low, high)) in enumerate(zip(slots, bounds)):
         c = F.col(column)
         near.append((c > low) & (c < high))
-        for j, group in enumerate(ends[i]):
-            mine = F.col("g") == F.lit(group) if grouped else F.lit(True)
-            asked += [
-                F.count_if(mine & (c < low)).alias(f"u{i}_{j}"), F.count_if(mine & (c == low)).alias(f"l{i}_{j}"),
-                F.count_if(mine & (c == high) & (high > low)).alias(f"h{i}_{j}"),
-            ]
-    seen, path = Observation(), f"{require_checkpoint_dir(spark)}/between-{uuid.uuid4().hex}"
-    key = F.col("g").cast("string") if grouped else F.lit("")
-    tagged = F.array(*[
-        F.struct(F.concat(F.lit(f"{i}|"), key).alias("g"), F.when(near[i], F.col(column)).alias("v0"))
-        for i, (column, _) in enumerate(slots)
-    ])
-    inside = joined.observe(seen, *asked).where(reduce(or_, near)).select(F.explode(tagged).alias("t")).select("t.*").where("v0 IS NOT NULL")
-    inside.write.parquet(path)
+        asked += [
+            F.count_if(c < low).alias(f"u{i}"), F.count_if(c == low).alias(f"l{i}"),
+            F.count_if((c == high) & (high > low)).alias(f"h{i}"),
+        ]
+    # rows without a value between any ends are one group, which combines before the shuffle
+    held = F.array(*[F.when(near[i], F.col(column)) for i, (column, _) in enumerate(slots)])
+    kept = joined.groupBy(*by, F.when(reduce(or_, near), held).alias("held")).agg(F.count(F.lit(1)).alias("n"), *asked)
+    path = f"{require_checkpoint_dir(spark)}/between-{uuid.uuid4().hex}"
+    kept.write.parquet(path)
     try:
-        between, counts = spark.read.schema(inside.schema).parquet(path), seen.get
+        table, names = spark.read.schema(kept.schema).parquet(path), [f"{x}{i}" for i in range(len(slots)) for x in "ulh"]
+        sums = table.groupBy(*by).agg(*[F.sum(n).alias(n) for n in names]).collect()
+        counts = {r["g"] if grouped else None: r for r in sums}
+        key = F.concat(F.col("slot").cast("string"), F.lit("|"), F.col("g").cast("string") if grouped else F.lit(""))
+        values = table.where("held IS NOT NULL").select(*by, "n", F.posexplode("held").alias("slot", "v0")).where("v0 IS NOT NULL")
+        between = values.select(key.alias("g"), "v0", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("g", "v0")
         rows = between.groupBy("g").agg(F.count("v0").alias("n"), F.min("v0").alias("a"), F.max("v0").alias("z")).collect()
         found, missed, rest = {r["g"]: (r["n"], r["a"], r["z"]) for r in rows}, [], []
         for i, members in enumerate(slots.values()):
-            order = list(ends[i])
             for s, lo, hi in members:
-                j, name = order.index(s.group), f"{i}|{'' if s.group is None else _text(s.group)}"
+                name, r = f"{i}|{'' if s.group is None else _text(s.group)}", counts[s.group]
                 mid, least, most = found.get(name, (0, None, None))
-                if not _step(s, lo, hi, counts[f"u{i}_{j}"], counts[f"l{i}_{j}"], mid, counts[f"h{i}_{j}"], least, most):
+                if not _step(s, lo, hi, r[f"u{i}"], r[f"l{i}"], mid, r[f"h{i}"], least, most):
                     missed.append(s)
                 elif s.open():
                     rest.append((s, name))
