@@ -3,7 +3,7 @@
 Every distinct shingle set is a class; the rest works on classes. A class's sketch has 128
 minima of 32-bit hashes, each kept as its count of leading zeros and ten mantissa bits.
 Bands of four compressed registers name buckets. Two sets of similarity 0.85 share a band's
-registers with probability 0.52, so all 32 bands miss them once in 2e10 times (once in 2e7
+registers with probability 0.52, so all 32 bands miss them once in 1.9e10 times (once in 2.1e7
 at 0.8).
 
 Members of a bucket are compared with its first member only. What is linked this way is joined
@@ -13,8 +13,13 @@ a pair if they can be linked at all, which parity bits tell without error: each
 of 512 bits, so two sets differ in at least as many elements as their bits differ in. So no
 group is expanded into pairs, and no link between components is skipped.
 
-Candidates pass if their Jaccard estimate, corrected for registers that agree by accident, is
-within five standard errors of the threshold; all those are confirmed on the whole sets.
+Candidates pass if their Jaccard estimate, corrected for registers that agree by accident, reaches a
+limit that a pair at the threshold falls below with a tenth of the probability that all bands miss it (an exact
+binomial tail); all those are confirmed on the whole sets. So a link at the threshold is lost once in 1.7e10
+(0.85) or 1.9e7 (0.8), and stronger ones more rarely.
+
+A class in many pairs and a bucket of many members are split: their pairs are dealt to numbered parts, and the
+class's set, or one side of the bucket, is there once for each part.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ MANTISSA = 10
 WORDS, PERCENT = 5, 80
 PARITY_BITS = 512
 WORD_MEMO = 400_000
+PAIRS_AT_ONCE = 4096  # of one class, before its set is there more than once
+MEMBERS_AT_ONCE = 1024  # of one bucket, before its members are compared block by block
 CLASS = "decimal(38,0)"
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 FACTORS = _RNG.integers(1, 1 << 31, (2, REGISTERS // 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -109,9 +116,19 @@ def estimate(equal: int, n: int, m: int) -> float:
     return max(0.0, (equal / REGISTERS - c) / (1 - c))
 
 
+def band_miss(percent: int) -> float:
+    """Probability that no band of a pair at the threshold agrees."""
+    return (1 - (percent / 100) ** ROWS) ** BANDS
+
+
 def lowest_estimate(percent: int) -> float:
-    j = percent / 100
-    return j - 5 * math.sqrt(j * (1 - j) / REGISTERS)
+    """The estimate that a pair at the threshold falls below with at most a tenth of ``band_miss``."""
+    j, tail, equal = percent / 100, 0.0, 0
+    while True:
+        tail += math.comb(REGISTERS, equal) * j**equal * (1 - j) ** (REGISTERS - equal)
+        if tail > band_miss(percent) / 10:
+            return equal / REGISTERS
+        equal += 1
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -187,11 +204,22 @@ def _with_sets(docs: DataFrame, needed: DataFrame, text: str, doc_id: str, words
     return kept_table(found.select("k", "n_shingles", "sketch", "shingle_set", "parity").dropDuplicates(["k"]))
 
 
+def _dealt(pairs: DataFrame, sets: DataFrame, side: str, total: int) -> DataFrame:
+    """The pairs with the sketch and set of one side. A class with many pairs has its set once for each part of them."""
+    many = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PAIRS_AT_ONCE)
+    many = kept_table(many.withColumn("parts", F.ceil(F.col("n") / PAIRS_AT_ONCE).cast("int")))
+    other = "b" if side == "a" else "a"
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = lookup(pairs, many, [side], "n", total, "left").withColumn("part", F.pmod(F.xxhash64(other), parts).cast("int"))
+    held = sets.select(F.col("k").alias(side), F.col("sketch").alias(f"s{side}"), F.col("shingle_set").alias(f"h{side}"))
+    held = held.join(many, side, "left").withColumn("part", F.explode_outer(F.sequence(F.lit(0), parts - 1))).drop("n", "parts")
+    return dealt.drop("n", "parts").join(held, [side, "part"]).drop("part")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    left = sets.select(F.col("k").alias("a"), F.col("sketch").alias("sa"), F.col("shingle_set").alias("ha"))
-    right = sets.select(F.col("k").alias("b"), F.col("sketch").alias("sb"), F.col("shingle_set").alias("hb"))
-    both = pairs.join(left, "a").join(right, "b")
+    """The pairs (a, b) whose sets are similar enough; ``pairs`` is a written table."""
+    total = pairs.count()
+    both = _dealt(_dealt(pairs, sets, "a", total), sets, "b", total)
     least = lowest_estimate(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,21 +278,24 @@ def _second_stars(mixed: DataFrame) -> DataFrame:
     top = kept_table(top.select("bucket", "size", "x.top", "x.hub"))
     total = top.agg(F.sum("size")).first()[0] or 0
     pairs = lookup(mixed, top, ["bucket"], "size", total).where("c <> top")
-    return pairs.select(F.least("k", "hub").alias("a"), F.greatest("k", "hub").alias("b")).distinct()
+    return pairs.select(F.col("hub").alias("a"), F.col("k").alias("b")).distinct()
 
 
 def _open_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Members of one bucket in different components whose sets may be similar enough by size
     and parity bits, each pair once."""
-    known = mixed.select("bucket", "k", "c").join(sets.select("k", "n_shingles", "parity"), "k")
-    named = lambda x: known.select("bucket", *[F.col(n).alias(f"{n}_{x}") for n in ("k", "c", "n_shingles", "parity")])
+    known = mixed.select("bucket", "k", "c", "members").join(sets.select("k", "n_shingles", "parity"), "k")
+    blocks = F.ceil(F.col("members") / MEMBERS_AT_ONCE).cast("int")
+    own, every = F.pmod(F.xxhash64("k"), blocks).cast("int"), F.explode_outer(F.sequence(F.lit(0), blocks - 1))
+    named = lambda x, block: known.select(
+        F.col("bucket").alias(f"bucket_{x}"), block.alias(f"block_{x}"), *[F.col(n).alias(f"{n}_{x}") for n in ("k", "c", "n_shingles", "parity")])
     differ = F.lit(0)
     for i in range(PARITY_BITS // 64):
         differ = differ + F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i]))
     both = F.col("n_shingles_a") + F.col("n_shingles_b")
     can_link = (F.col("k_a") < F.col("k_b")) & (F.col("c_a") != F.col("c_b")) & ((100 + percent) * differ <= (100 - percent) * both)
-    a, b = named("a"), named("b").withColumnRenamed("bucket", "bucket_b")
-    met = a.join(b, (F.col("bucket") == F.col("bucket_b")) & can_link)
+    a, b = named("a", every), named("b", own)
+    met = a.join(b, (F.col("bucket_a") == F.col("bucket_b")) & (F.col("block_a") == F.col("block_b")) & can_link)
     return met.select(F.col("k_a").alias("a"), F.col("k_b").alias("b")).distinct()
 
 
@@ -284,7 +315,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, words: int, percent: int)
     edges = kept_table(_verified(stars, sets, percent))
     owner = components(edges)
     for pairs in (_second_stars, lambda mixed: _open_pairs(mixed, sets, percent)):
-        more = kept_table(_verified(pairs(_mixed(bands, owner)), sets, percent))
+        more = kept_table(_verified(kept_table(pairs(_mixed(bands, owner))), sets, percent))
         if more.limit(1).count():
             edges = edges.unionByName(more)
             owner = components(edges)
