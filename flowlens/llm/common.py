@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -47,6 +48,18 @@ def release_tables() -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs run inside send at most so many rows at once to Python workers, for rows that may be large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(was)) if int(was) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def with_python(spark: SparkSession) -> None:
     """Python workers will need this package."""
     ship_package(spark)

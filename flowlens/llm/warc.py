@@ -26,12 +26,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from flowlens.llm.common import kept_table, lookup, possible_member, with_python
+from flowlens.llm.common import batches_of, kept_table, lookup, possible_member, with_python
 
 DATE = "2024-01-01T00:00:00Z"
 SHARD_BYTES = 64 << 20  # payload per shard, about
 ROLL_BYTES = 16 << 20  # compressed size at which a file is closed
 MOST_TASKS = 100_000  # beyond it, a task writes several shards one after the other
+PAGES_AT_ONCE = 128  # pages a writing task holds
 ORDER = ["page_id", "sha1", "url"]
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -235,7 +236,8 @@ def write(
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["shard", "seq", "temp", "name", "bytes", "records"])
 
-    written = kept_table(placed.mapInArrow(run, schema))
+    with batches_of(spark, PAGES_AT_ONCE):
+        written = kept_table(placed.mapInArrow(run, schema))
     return _commit(spark, written, out, folder)
 
 
