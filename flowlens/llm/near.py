@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowlens.llm.common import extended, kept_table, lookup, numbered, possible_member, with_python
+from flowlens.llm.common import batches_of, extended, kept_table, lookup, numbered, possible_member, with_python
 
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
@@ -42,6 +42,7 @@ WORDS, PERCENT = 5, 80
 PARITY_BITS = 512
 WORD_MEMO = 400_000
 PAIRS_AT_ONCE = 4096  # of one class, before its set is there more than once
+SETS_AT_ONCE = 512  # rows with texts or sets that a Python worker is sent together
 MEMBERS_AT_ONCE = 1024  # of one bucket, before its members are compared block by block
 CLASS = "decimal(38,0)"
 _RNG = np.random.Generator(np.random.PCG64(20240229))
@@ -340,7 +341,8 @@ def decisions(
     reachable, null if all are null; rows of a component that repeat that id are all marked
     kept (``dedup`` keeps one of them).
     """
-    rows, classes = _grouped(docs, doc_id, text, words, percent)
+    with batches_of(docs.sparkSession, SETS_AT_ONCE):
+        rows, classes = _grouped(docs, doc_id, text, words, percent)
     total = classes.agg(F.sum("size")).first()[0] or 0
     met = lookup(rows.where("n_shingles > 0"), classes, ["k"], "size", total)
     alone = rows.where("n_shingles = 0").withColumn("component_id", F.col("id"))
@@ -356,7 +358,8 @@ def dedup(
     """One row of each component, that with the smallest id, with the caller's columns."""
     plain, at = numbered(docs)
     ident, content = at[doc_id], at[text]
-    _, classes = _grouped(plain, ident, content, words, percent)
+    with batches_of(docs.sparkSession, SETS_AT_ONCE):
+        _, classes = _grouped(plain, ident, content, words, percent)
     several = classes.where("component_size > 1")
     rows = _sets(plain, content, words, sketches=False, sets=False)
     rows = possible_member(rows, "k", several, "several")
