@@ -186,7 +186,7 @@ def gbt_ovr_scores(spark, sf):
 def training_history(spark, sf):
     """Train and validation loss of boosted trees with early stopping."""
     rows = clean.part(item_vectors(spark, sf), "train")
-    return training.fit_boosting(rows, F.pmod("row_id", F.lit(10)) == 0, maxIter=20).history_table(spark)
+    return training.fit_boosting(rows, F.pmod("row_id", F.lit(10)) == 0, maxIter=100).history_table(spark)
 
 
 @query("multiclass_comparison")

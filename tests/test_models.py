@@ -381,3 +381,27 @@ def test_mart_replaces_one_model(spark, rows, models, tmp_path):
     assert sorted(map(str, after.where("model = 'random_forest'").collect())) == sorted(map(str, before))
     counts = {r["part"]: r["count"] for r in after.where("model = 'decision_tree'").groupBy("part").count().collect()}
     assert counts == {"global_rank": 4, "waterfall": 20, "rules": 30}
+
+
+@pytest.mark.parametrize("name", ["random_forest", "decision_tree", "gradient_boosting", "logistic_regression"])
+def test_array_scores_equal_the_models(rows, models, name):
+    got = [(r["features"].toArray(), r["p"]) for r in models[name].transform(rows).select(
+        "features", vector_to_array("probability").alias("p")).limit(400).collect()]
+    x, want = np.array([g[0] for g in got]), np.array([g[1] for g in got])
+    assert np.allclose(surrogate.scorer_of(models[name])(x), want, atol=1e-9)
+
+
+def test_neighbours_of_both_kinds_agree(rows, models):
+    """Spark rows scored by transform and arrays scored in the batch give the same weights, up to their draws."""
+    context, some = surrogate.Context.fit(rows, NAMES), rows.where("row_id in (5, 77)")
+    fits = []
+    for hide in (False, True):
+        with pytest.MonkeyPatch.context() as patch:
+            if hide:
+                patch.setattr(surrogate, "scorer_of", lambda m: None)
+            got = surrogate.explain_all(some, {n: models[n] for n in ("random_forest", "logistic_regression")}, context, 4, [1], samples=6000)
+            fits.append({(r["row_id"], r["model"], r["feature"]): (r["weight"], r["condition"], r["p"]) for r in got.collect()})
+    assert set(fits[0]) == set(fits[1]) and len(fits[0]) == 16
+    for k, (w, condition, p) in fits[0].items():
+        other = fits[1][k]
+        assert condition == other[1] and abs(p - other[2]) < 1e-9 and abs(w - other[0]) < 0.03
