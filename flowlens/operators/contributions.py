@@ -14,6 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens.functions.scores import direction, either_contains, rule_token
+from flowlens.sources.state import written
 
 
 def pack(values: Mapping[str, tuple[Column, Column]]) -> Column:
@@ -125,7 +126,10 @@ def global_rank(stats: DataFrame, k: int = 20, by: tuple[str, ...] = ()) -> Data
 
 
 def summary_points(df: DataFrame, k: int = 20, items: str = "items") -> DataFrame:
-    """All (feature, value, contribution) points of the k strongest features overall."""
+    """All (feature, value, contribution) points of the k strongest features overall.
+
+    The contributions are computed once and written, as both steps read them."""
+    df = written(df)
     top = feature_stats(df, items).orderBy(F.desc("mean_abs"), "feature").limit(k)
     return to_long(df, items).join(F.broadcast(top.select("feature")), "feature", "left_semi")
 

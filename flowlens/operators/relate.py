@@ -50,19 +50,24 @@ def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     return wide.select(F.inline(F.array(*wide.columns)))
 
 
-def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def correlation_pairs(df: DataFrame, columns: Sequence[str], expressions: int = 300) -> DataFrame:
     """(a, b, r) for every pair a before b in column order, over the rows where both are present.
 
-    One pass for means, then one for the sums of centred products of all pairs at once: each
+    One pass for means, then one for the sums of centred products of all pairs at once. Where no cell is
+    missing and the pairs are at most ``expressions`` many, these are aggregate expressions. Otherwise each
     task adds up five columns x columns matrices and gives one row per pair, so the shuffle
-    holds pairs x tasks rows whatever the number of rows. A pair with a constant side gives null.
+    holds pairs x tasks rows whatever the number of rows. Both read r off the same sums by the same
+    formula. A pair with a constant side gives null.
     """
     columns = list(columns)
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    ship_package(df.sparkSession)
     cells = df.select(*[clean_numeric(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
-    means = [m or 0.0 for m in cells.agg(*[F.avg(c) for c in cells.columns]).first()]
+    total, *facts = cells.agg(F.count(F.lit(1)), *[F.struct(F.avg(c), F.count(c)) for c in cells.columns]).first()
+    means = [mean or 0.0 for mean, _ in facts]
+    if total and all(n == total for _, n in facts) and len(columns) * (len(columns) - 1) // 2 <= expressions:
+        return _pairs_by_expressions(cells, means, columns)
+    ship_package(df.sparkSession)
     upper = np.triu_indices(len(columns), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,13 +85,40 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     whole = cells.mapInArrow(run, f"i long, j long, {kinds}").groupBy("i", "j").agg(
         *[merge.get(n[:-2], F.sum)(n).alias(n) for n in PairSums.NAMES]
     )
-    n, flat = F.col("n"), (F.col("low_x") >= F.col("high_x")) | (F.col("low_y") >= F.col("high_y"))
-    spread = lambda c: F.sqrt(n * F.col(f"sq_{c}") - F.col(f"sum_{c}") * F.col(f"sum_{c}"))
-    r = F.try_divide(n * F.col("prod") - F.col("sum_x") * F.col("sum_y"), spread("x") * spread("y"))
     # Every pair is there also when no row is; columns x columns literals.
     names = [(i, j, columns[i], columns[j]) for i, j in combinations(range(len(columns)), 2)]
     pairs = df.sparkSession.createDataFrame(names, "i long, j long, a string, b string")
-    return pairs.join(whole, ["i", "j"], "left").select("a", "b", F.when(~flat, r).alias("r"))
+    return pairs.join(whole, ["i", "j"], "left").select("a", "b", _r(F.col).alias("r"))
+
+
+def _r(part) -> Column:
+    """The coefficient from a pair's sums, named as in PairSums."""
+    flat = (part("low_x") >= part("high_x")) | (part("low_y") >= part("high_y"))
+    spread = lambda c: F.sqrt(part("n") * part(f"sq_{c}") - part(f"sum_{c}") * part(f"sum_{c}"))
+    r = F.try_divide(part("n") * part("prod") - part("sum_x") * part("sum_y"), spread("x") * spread("y"))
+    return F.when(~flat, r)
+
+
+def _pairs_by_expressions(cells: DataFrame, means: Sequence[float], columns: Sequence[str]) -> DataFrame:
+    """The pairs of columns without missing cells: sums per column, and a product per pair."""
+    names = [f"c{i}" for i in range(len(columns))]
+    at = {c: F.col(c) - F.lit(m) for c, m in zip(names, means)}
+    pairs = list(combinations(range(len(columns)), 2))
+    one = cells.agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        *[f(v).alias(f"{k}_{c}") for c, v in at.items() for k, f in
+          (("sum", F.sum), ("sq", lambda v: F.sum(v * v)), ("low", F.min), ("high", F.max))],
+        *[F.sum(at[f"c{i}"] * at[f"c{j}"]).alias(f"prod_{i}_{j}") for i, j in pairs],
+    )
+
+    def row(i: int, j: int) -> Column:
+        def part(name: str) -> Column:
+            kind, _, side = name.partition("_")
+            return F.col("n" if name == "n" else f"prod_{i}_{j}" if name == "prod" else f"{kind}_c{i if side == 'x' else j}")
+
+        return F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), _r(part).alias("r"))
+
+    return one.select(F.inline(F.array(*[row(i, j) for i, j in pairs])))
 
 
 class PairSums:

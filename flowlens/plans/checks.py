@@ -23,8 +23,8 @@ def _separable(spark, sf):
     return encode.assemble(rows, ["l_linenumber", "l_tax"])
 
 
-def _separable_models(spark, sf):
-    return training.train_all(_separable(spark, sf).where("origin = 'train'"), list(TREES), params=TREES)
+def _separable_models(spark, sf, names=tuple(TREES)):
+    return training.train_all(_separable(spark, sf).where("origin = 'train'"), list(names), params=TREES)
 
 
 @query("separable_trees", f"""WITH {LI}, m AS (SELECT unnest(['random_forest', 'gradient_boosting', 'decision_tree']) AS model)
@@ -41,8 +41,9 @@ FROM (SELECT unnest(['random_forest', 'decision_tree']) AS model),
      (SELECT unnest(['l_linenumber', 'l_tax']) AS feature)""")
 def separable_importance(spark, sf):
     """All importance lies on the one useful feature."""
-    models, out = _separable_models(spark, sf), None
-    for name in ("random_forest", "decision_tree"):
+    names, out = ("random_forest", "decision_tree"), None
+    models = _separable_models(spark, sf, names)
+    for name in names:
         part = training.importances(models[name], ["l_linenumber", "l_tax"], None).withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out

@@ -10,6 +10,7 @@ from flowlens.fixed import UNKNOWN
 from flowlens.operators import contributions, evaluate, surrogate, training
 from flowlens.plans.frames import EV, EV_NUM, ev
 from flowlens.plans.registry import query
+from flowlens.sources.state import written
 
 
 def dataset_kpis(df: DataFrame, n_features: int, n_models: int, origin: str = "origin") -> DataFrame:
@@ -62,8 +63,10 @@ MART = {"global_rank": ("rank",), "waterfall": ("row_id", "rank"), "rules": ("ro
 def write_explanations(attributions: DataFrame, rules: DataFrame, root: str, k: int = 12) -> None:
     """Global ranks, per-row waterfalls and rule tables below ``root``, one folder each.
 
-    Both frames name their model; models that aren't in them keep what was written before.
+    Both frames name their model; models that aren't in them keep what was written before. The
+    attributions are computed once.
     """
+    attributions = written(attributions)
     tables = {
         "global_rank": explanation_ranks(attributions), "waterfall": contributions.waterfall(attributions, k),
         "rules": surrogate.rule_table(rules),

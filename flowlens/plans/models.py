@@ -1,6 +1,7 @@
 """Training, scoring and explanation queries on the given tables.
 
-Fitted models are kept per table folder, because several queries explain the same model.
+Fitted models are kept per table folder, because several queries explain the same model, for as long as
+the folder's files stay as they are.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from flowlens.plans.frames import EV_NUM, ev, table
 from flowlens.plans.registry import query
 from flowlens.session import require_checkpoint_dir
 from flowlens.sources import spread
+from flowlens.sources.state import files_of
 
 _KEPT: dict[tuple, object] = {}
 
@@ -28,7 +30,7 @@ def forget_models() -> None:
 def _once(fn):
     @wraps(fn)
     def call(spark, sf):
-        key = (fn.__name__, spark.sparkContext.applicationId, sf)
+        key = (fn.__name__, spark.sparkContext.applicationId, sf, files_of(spark, sf))
         if key not in _KEPT:
             _KEPT[key] = fn(spark, sf)
         return _KEPT[key]
@@ -71,7 +73,7 @@ def item_vectors(spark, sf):
 
 
 def _item_fit(spark, sf, name, **params):
-    key = ("item", name, spark.sparkContext.applicationId, sf)
+    key = ("item", name, spark.sparkContext.applicationId, sf, files_of(spark, sf))
     if key not in _KEPT:
         train = clean.part(item_vectors(spark, sf), "train")
         _KEPT[key] = training.train_all(train, [name], params={name: params})[name]
@@ -318,6 +320,13 @@ def scored_instances(spark, sf):
     return marts.scored(event_models(spark, sf), event_vectors(spark, sf))
 
 
+@query("trained_performance")
+def trained_performance(spark, sf):
+    """The performance mart of the trained tree models over the test events."""
+    test = clean.part(event_vectors(spark, sf), "test")
+    return marts.performance(training.score_all(event_models(spark, sf), test, ["y"]))
+
+
 @query("explanation_mart")
 def explanation_mart(spark, sf):
     """The mart of the three tree models: ranks and waterfalls of all events, rules of the test rows, as

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 
+from flowlens.session import require_checkpoint_dir
+
 
 def save_table(df: DataFrame, path: str) -> None:
     """A fitted table (scaler statistics, threshold, bin edges) as one Parquet file."""
@@ -65,6 +68,20 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read from there, for results that several steps read."""
+    path = f"{require_checkpoint_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def files_of(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of the Parquet files and folders in a folder, which tell whether it has changed."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*.parquet")
+    found = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(where)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found or ()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows over all of the session's tasks, before work that is heavy per row, if they come in fewer.
 
