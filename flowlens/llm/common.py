@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -16,7 +17,8 @@ SPACE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITMAP_BITS = 1 << 22  # broadcast as at most 65,536 rows of two longs: 1 MB
 HEAVY = 1000
-_TABLES: list[tuple[SparkSession, str]] = []
+Held = list[tuple[SparkSession, str]]
+_HELD: ContextVar[Held | None] = ContextVar("held", default=None)
 
 
 def text_or_empty(column: str | Column = "text") -> Column:
@@ -35,15 +37,28 @@ def kept_table(df: DataFrame) -> DataFrame:
     estimate on, and in loops of joins that number gets twice as long every round.
     """
     path = f"{require_checkpoint_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
-    _TABLES.append((df.sparkSession, path))
+    held = _HELD.get()
+    if held is not None:
+        held.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release_tables() -> None:
-    """Deletes the tables kept so far; for callers that have written what was made from them."""
-    while _TABLES:
-        spark, path = _TABLES.pop()
+@contextmanager
+def tables_in(held: Held) -> Iterator[None]:
+    """Tables kept inside are listed in ``held``, for ``release`` once what was made from them is written.
+    Tables kept outside are nobody's and stay as long as the shared folder."""
+    token = _HELD.set(held)
+    try:
+        yield
+    finally:
+        _HELD.reset(token)
+
+
+def release(held: Held) -> None:
+    """Deletes the listed tables."""
+    while held:
+        spark, path = held.pop()
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from flowlens.llm import near
+from flowlens.llm import common, near
 from tests.llm import brute
 
 
@@ -38,3 +38,16 @@ def test_the_estimate_loses_less_than_the_bands(percent, one_in):
     j, limit = percent / 100, near.lowest_estimate(percent) * near.REGISTERS
     below = sum(math.comb(near.REGISTERS, e) * j**e * (1 - j) ** (near.REGISTERS - e) for e in range(int(limit)))
     assert below <= near.band_miss(percent) / 10 and 0.8 * one_in < 1 / near.band_miss(percent) < 1.2 * one_in
+
+
+def test_release_touches_its_own_tables_only(spark):
+    held, docs = [], spark.createDataFrame(family(random.Random(1), 12), "doc_id long, text string")
+    mine = near.decisions(docs)
+    with common.tables_in(held):
+        theirs = near.decisions(docs)
+        assert theirs.count() == 12
+    assert held
+    common.release(held)
+    assert held == [] and mine.count() == 12
+    with pytest.raises(Exception, match="(?i)not.exist|no such"):
+        theirs.count()
