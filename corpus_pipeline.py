@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next stage's docs. A stage works on all that the one before kept. All but
 the last return the columns of ``documents``; the last has one row per mixed document with its
-tokens' number, ids and digests.
+tokens' number, ids and digests. Tables that a stage keeps in the shared folder go when the next one
+begins, as its docs are written by then; nobody else's tables are touched.
 """
 
 from __future__ import annotations
@@ -13,37 +14,43 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from flowlens.llm import exact, mixing, near, pieces, quality
-from flowlens.llm.common import release_tables
+from flowlens.llm.common import Held, release, tables_in
 from flowlens.session import require_checkpoint_dir
 
+_HELD: Held = []
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the fixed limits and aren't outliers of their language and source."""
-    release_tables()
-    return quality.keep(docs)
+    release(_HELD)
+    with tables_in(_HELD):
+        return quality.keep(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: the longest, then the smallest id."""
-    release_tables()
-    return exact.dedup(docs)
+    release(_HELD)
+    with tables_in(_HELD):
+        return exact.dedup(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts linked by five-word shingles at a similarity of 0.8."""
-    release_tables()
-    return near.dedup(docs)
+    release(_HELD)
+    with tables_in(_HELD):
+        return near.dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows repeated and drawn so that the sources' words come near their targets."""
-    release_tables()
-    return mixing.mix(docs)
+    release(_HELD)
+    with tables_in(_HELD):
+        return mixing.mix(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed rows' tokens: doc_id, source, n_tokens, token_ids, ids_sha256, decoded_sha256."""
-    release_tables()
+    release(_HELD)
     rows = pieces.encode(docs)
     return rows.select("doc_id", "source", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
 
