@@ -146,7 +146,7 @@ def transform(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
                 yield pa.RecordBatch.from_arrays([
                     *(c.slice(lo, hi - lo) for c in batch.columns[:keep]), pa.array(n, pa.int64()), pa.array(kinds, pa.string()),
                     pa.array(before, pa.int64(), mask=hidden), pa.array(between, pa.int64(), mask=hidden),
-                    pa.array(out, pa.binary()).cast(pa.string()),
+                    pa.array(out, pa.binary()).view(pa.string()),  # unchecked, as Spark holds it
                 ], names)
 
     return ready.mapInArrow(run, schema)
@@ -154,8 +154,12 @@ def transform(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
 
 def restored(output: Column, form: Column) -> Column:
     """The text that an output of a form was made from. Texts hold no mark, and no mark can begin in
-    a text and end in a mark, so the marks found are those that were put in."""
-    part = F.split(output, "|".join((PREFIX, SUFFIX, MIDDLE)), -1)
-    get = lambda i: F.get(part, F.lit(i))
-    return F.when(form == "plain", output).when(form == "psm", F.concat(get(1), get(3), get(2))).otherwise(
-        F.concat(get(2), get(3), get(1)))
+    a text and end in a mark, so the marks found are those that were put in, each once."""
+    def between(left: str, right: str) -> Column:
+        head = F.substring_index(output, right, 1)
+        return F.substring_index(head, left, -1)
+
+    middle = F.substring_index(output, MIDDLE, -1)
+    psm = F.concat(between(PREFIX, SUFFIX), middle, between(SUFFIX, MIDDLE))
+    spm = F.concat(between(PREFIX, MIDDLE), middle, between(SUFFIX, PREFIX))
+    return F.when(form == "plain", output).when(form == "psm", psm).otherwise(spm)

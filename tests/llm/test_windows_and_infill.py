@@ -116,3 +116,10 @@ def test_infill_forms_are_all_there():
 @pytest.mark.parametrize("name", ["op12_decontaminate", "op13_fill_in_middle"])
 def test_against_sql(spark, name):
     assert compare(queries.QUERIES[name](spark, SMALL), connect(SMALL), queries.ORACLES[name]) == []
+
+
+def test_bytes_that_are_no_text(spark):
+    """Bytes that aren't UTF-8 pass through unharmed."""
+    df = spark.range(40).select(F.col("id").alias("doc_id"), F.expr("cast(unhex('61FF62E282C3A92020') as string)").alias("text"))
+    made = infill.transform(df).withColumn("back", infill.restored(F.col("output"), F.col("form")))
+    assert made.where(F.hex(F.col("back").cast("binary")) != "61FF62E282C3A92020").count() == 0
