@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from flowlens.operators import anomaly, dictionary, encode, publish, training
+from flowlens.operators import anomaly, attribution, dictionary, encode, forest, publish, training
 
 
 def test_dictionary(spark):
@@ -83,3 +83,57 @@ def test_versions(spark, tmp_path, monkeypatch):
     first.scaler.save(spark, f"{root}/{two}/scaler")
     with pytest.raises(publish.Mismatch):
         publish.load(spark, root)
+
+
+def chained(spark, n=1500):
+    """Classes that change at every second value of one feature: a tree must tell hundreds of intervals apart."""
+    u = F.pmod(F.xxhash64("id"), F.lit(100_000)) / 100_000.0
+    return spark.range(n).select(F.col("id").alias("row_id"), (F.floor(u * 400) % 2).cast("int").alias("y"), array_to_vector(F.array(u, u * 0 + 1)).alias("features"))
+
+
+def test_deep_forest(spark, monkeypatch):
+    monkeypatch.setattr(forest, "TOP_DEPTH", 4)
+    rows = chained(spark).repartition(3).cache()
+    deep = forest.fit(rows, trees=12)
+    flat = training.train_all(rows, ["random_forest"], params={"random_forest": {"numTrees": 12, "maxDepth": 4}})["random_forest"]
+    right = lambda m: m.transform(rows).where("prediction = y").count() / 1500
+    assert right(deep) > 0.97 > 0.7 > right(flat) and deep.depth() > 8
+    assert list(deep.featureImportances) == [1.0, 0.0]
+    again = forest.fit(rows.repartition(5), trees=12)
+    assert [sorted(map(str, t.values())) for t in again.tables.values()] != [] and right(again) > 0.97
+    parts = attribution.attribute(rows, None, ["a", "b"], trees=deep.trees())
+    total = parts.select("row_id", (F.col("base") + F.aggregate("items", F.lit(0.0), lambda s, x: s + x["contribution"])).alias("t"))
+    gap = deep.transform(rows).select("row_id", F.get(vector_to_array("probability"), F.lit(1)).alias("p")).join(total, "row_id")
+    assert gap.agg(F.max(F.abs(F.col("p") - F.col("t")))).first()[0] < 1e-9
+
+
+def test_deep_forest_grows_the_top_until_groups_are_small(spark, monkeypatch):
+    monkeypatch.setattr(forest, "TOP_DEPTH", 2)
+    rows, depths = chained(spark, 800).cache(), []
+    train = training.train_all
+    monkeypatch.setattr(forest.training, "train_all", lambda *a, **k: depths.append(a[3]["random_forest"]["maxDepth"]) or train(*a, **k))
+    many = rows.withColumn("y", F.pmod("row_id", F.lit(3)).cast("int"))
+    deep = forest.fit(many, 3, trees=4, most_rows=60)
+    assert depths[0] == 2 and len(depths) > 1 and deep.transform(many).where("prediction = y").count() > 600
+    same = rows.withColumn("features", array_to_vector(F.array(F.lit(1.0), F.lit(2.0))))
+    with pytest.raises(ValueError, match="a leaf of"):
+        forest.fit(same, trees=1, most_rows=60)
+
+
+def test_finished_tree_by_definition():
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 6, size=(60, 2)).astype(float), rng.integers(0, 3, size=60)
+    counts = np.eye(3)[y] * rng.integers(1, 4, size=60)[:, None]
+    gini = lambda c: c.sum() - (c**2).sum() / c.sum()
+    f, cut = forest.best_split(x, counts, np.arange(2), 2)
+    left = {(j, c): gini(counts[x[:, j] <= c].sum(axis=0)) + gini(counts[x[:, j] > c].sum(axis=0)) for j in (0, 1) for c in range(5)}
+    assert abs(left[f, int(np.floor(cut))] - min(left.values())) < 1e-9
+    nodes = forest.finished(x, counts, rng)
+    for i, row in enumerate(x):
+        at = 0
+        while nodes[at][0] >= 0:
+            at = nodes[at][0] + int(row[nodes[at][1]] > nodes[at][2])
+        same = (x == row).all(axis=1)
+        assert np.allclose(nodes[at][3], counts[same].sum(axis=0)) or (nodes[at][3] > 0).sum() == 1
+    draws = forest.bootstrap(np.arange(20_000), 3, 42)
+    assert abs(draws.mean() - 1) < 0.03 and abs(draws.var() - 1) < 0.05 and abs(np.corrcoef(draws, forest.bootstrap(np.arange(20_000), 4, 42))[0, 1]) < 0.03
