@@ -18,39 +18,49 @@ from flowlens.llm.common import Held, release, tables_in
 from flowlens.session import require_checkpoint_dir
 
 _HELD: Held = []
+TEXTS_AT_ONCE = 512  # whole texts that a Python worker is sent together
+
+
+def _begin(spark: SparkSession) -> None:
+    """The docs are written: what the stage before kept can go. Large texts travel in small batches, also
+    when the stage's result is computed, which is after its function has returned."""
+    release(_HELD)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXTS_AT_ONCE:
+        spark.conf.set(key, TEXTS_AT_ONCE)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the fixed limits and aren't outliers of their language and source."""
-    release(_HELD)
+    _begin(spark)
     with tables_in(_HELD):
         return quality.keep(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: the longest, then the smallest id."""
-    release(_HELD)
+    _begin(spark)
     with tables_in(_HELD):
         return exact.dedup(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts linked by five-word shingles at a similarity of 0.8."""
-    release(_HELD)
+    _begin(spark)
     with tables_in(_HELD):
         return near.dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows repeated and drawn so that the sources' words come near their targets."""
-    release(_HELD)
+    _begin(spark)
     with tables_in(_HELD):
         return mixing.mix(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed rows' tokens: doc_id, source, n_tokens, token_ids, ids_sha256, decoded_sha256."""
-    release(_HELD)
+    _begin(spark)
     rows = pieces.encode(docs)
     return rows.select("doc_id", "source", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
 
