@@ -9,6 +9,7 @@ begins, as its docs are written by then; nobody else's tables are touched.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,11 @@ TEXTS_AT_ONCE = 512  # whole texts that a Python worker is sent together
 
 
 def _begin(spark: SparkSession) -> None:
-    """The docs are written: what the stage before kept can go. Large texts travel in small batches, also
+    """The docs are written: what the stage before kept can go, as can its frames, whose plans the driver's JVM
+    holds until they are collected here. Large texts travel in small batches, also
     when the stage's result is computed, which is after its function has returned."""
     release(_HELD)
+    gc.collect()
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= TEXTS_AT_ONCE:
         spark.conf.set(key, TEXTS_AT_ONCE)
