@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators import anomaly, attribution, boosting, contributions, network, surrogate, training
 from flowlens.plans import marts
-from flowlens.sources.state import Registry
+from flowlens.sources.state import Registry, spread
 
 NAMES = ["a", "b", "c", "d"]
 
@@ -405,3 +405,9 @@ def test_neighbours_of_both_kinds_agree(rows, models):
     for k, (w, condition, p) in fits[0].items():
         other = fits[1][k]
         assert condition == other[1] and abs(p - other[2]) < 1e-9 and abs(w - other[0]) < 0.03
+
+
+def test_only_rows_of_few_parts_are_spread(spark):
+    many = spark.range(0, 100, 1, 64)
+    assert spread(many) is many
+    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
