@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators import anomaly, attribution, boosting, contributions, network, surrogate, training
 from flowlens.plans import marts
-from flowlens.sources.state import Registry, spread
+from flowlens.sources.state import Registry, part_rows, spread
 
 NAMES = ["a", "b", "c", "d"]
 
@@ -411,3 +411,25 @@ def test_only_rows_of_few_parts_are_spread(spark):
     many = spark.range(0, 100, 1, 64)
     assert spread(many) is many
     assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_rows_of_one_row_group_are_spread(spark, tmp_path):
+    """A file of one row group comes in many splits, all but one without rows."""
+    spark.range(0, 40_000, 1, 1).write.parquet(str(tmp_path / "t"))
+    small = {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "1"}
+    try:
+        for key, value in small.items():
+            spark.conf.set(key, value)
+        df, tasks = spark.read.parquet(str(tmp_path / "t")), spark.sparkContext.defaultParallelism
+        assert df.rdd.getNumPartitions() >= tasks and part_rows(df) == (40_000, 40_000)
+        largest, n = part_rows(spread(df))
+        assert n == 40_000 and 2 * largest * tasks <= 3 * n
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+
+
+def test_training_holds_few_rows_a_task(rows, monkeypatch):
+    monkeypatch.setattr(training, "MOST_ROWS", 100)
+    made, n = training._parts(rows.select("features", "y"))
+    assert n == 3000 and part_rows(made)[0] <= 150 and part_rows(made)[1] == 3000
