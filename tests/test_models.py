@@ -433,3 +433,32 @@ def test_training_holds_few_rows_a_task(rows, monkeypatch):
     monkeypatch.setattr(training, "MOST_ROWS", 100)
     made, n = training._parts(rows.select("features", "y"))
     assert n == 3000 and part_rows(made)[0] <= 150 and part_rows(made)[1] == 3000
+
+
+def test_trees_of_few_cells_are_explained_together(rows, models, monkeypatch):
+    """By tables of feature sets, without going through the trees' kernels."""
+    def none(tree):
+        raise AssertionError("a tree was explained alone")
+
+    monkeypatch.setattr(attribution, "_table_kernel", none)
+    monkeypatch.setattr(attribution, "_level_kernel", none)
+    x = np.array([r["features"].toArray() for r in rows.orderBy("row_id").limit(6).collect()])
+    for name in ("random_forest", "decision_tree", "gradient_boosting"):
+        trees = attribution.trees_of(models[name])
+        cut = trees.trees[0].cut[1], trees.trees[0].feature[1]
+        x[0, cut[1]] = cut[0]  # on a threshold
+        x[1, cut[1]] = 1e300
+        want = np.array([brute(trees, r, 4) for r in x])
+        assert np.allclose(attribution.contributions_of(x, trees), want, atol=1e-12)
+        odd = x.copy()
+        odd[1, cut[1]] = np.nan
+        assert np.allclose(attribution.contributions_of(odd, trees), want, atol=1e-12)
+
+
+def test_digits_count_edges_below():
+    rng = np.random.default_rng(3)
+    for edges in ([0.5], [], np.unique(rng.normal(size=40)), [0, 1e-9, 2e-9, 1.0], [-1e300, 0.0, 1e300], np.unique(rng.lognormal(sigma=6, size=31))):
+        edges = np.array(edges, float)
+        v = np.concatenate([rng.normal(size=100), rng.lognormal(sigma=6, size=100), edges, np.nextafter(edges, np.inf), [np.inf, -np.inf]])
+        for some in (v, np.append(v, np.nan)):
+            assert (attribution.Digits.of(edges)(some) == np.searchsorted(edges, some)).all()
