@@ -462,3 +462,12 @@ def test_digits_count_edges_below():
         v = np.concatenate([rng.normal(size=100), rng.lognormal(sigma=6, size=100), edges, np.nextafter(edges, np.inf), [np.inf, -np.inf]])
         for some in (v, np.append(v, np.nan)):
             assert (attribution.Digits.of(edges)(some) == np.searchsorted(edges, some)).all()
+
+
+@pytest.mark.parametrize("name", ["random_forest", "decision_tree", "gradient_boosting"])
+def test_score_tables_equal_the_trees(rows, models, name):
+    scorer = surrogate.scorer_of(models[name])
+    x = np.array([r["features"].toArray() for r in rows.limit(500).collect()])
+    many = scorer.many(10**8)
+    assert many is not scorer and scorer.many(1) is scorer
+    assert np.allclose(many(x), scorer(x), atol=1e-12)
