@@ -471,3 +471,16 @@ def test_score_tables_equal_the_trees(rows, models, name):
     many = scorer.many(10**8)
     assert many is not scorer and scorer.many(1) is scorer
     assert np.allclose(many(x), scorer(x), atol=1e-12)
+
+
+def test_models_that_are_not_explained_are_not_fitted(spark, monkeypatch):
+    from flowlens.plans import models as plans
+
+    asked = []
+    frame = spark.createDataFrame([("train",)], "origin string")
+    monkeypatch.setattr(plans, "_KEPT", {})
+    monkeypatch.setattr(plans, "event_vectors", lambda spark, sf: frame)
+    monkeypatch.setattr(plans.training, "train_all", lambda df, names: asked.extend(names) or {n: n for n in names})
+    assert plans.event_models(spark, "/none", ["random_forest"]) == {"random_forest": "random_forest"} and asked == ["random_forest"]
+    plans.event_models(spark, "/none")
+    assert asked == ["random_forest", "gradient_boosting", "decision_tree"]
