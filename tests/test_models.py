@@ -484,3 +484,10 @@ def test_models_that_are_not_explained_are_not_fitted(spark, monkeypatch):
     assert plans.event_models(spark, "/none", ["random_forest"]) == {"random_forest": "random_forest"} and asked == ["random_forest"]
     plans.event_models(spark, "/none")
     assert asked == ["random_forest", "gradient_boosting", "decision_tree"]
+
+
+def test_network_takes_no_notice_of_the_batch_size():
+    import pyarrow as pa
+
+    sizes = lambda parts, n: [b.num_rows for b in network._blocks(iter([pa.RecordBatch.from_arrays([pa.array(range(p))], ["x"]) for p in parts]), n)]
+    assert sizes([512, 88], 1000) == [600] and sizes([3, 0, 4, 5], 5) == [5, 5, 2] and sizes([], 5) == []
