@@ -491,3 +491,15 @@ def test_network_takes_no_notice_of_the_batch_size():
 
     sizes = lambda parts, n: [b.num_rows for b in network._blocks(iter([pa.RecordBatch.from_arrays([pa.array(range(p))], ["x"]) for p in parts]), n)]
     assert sizes([512, 88], 1000) == [600] and sizes([3, 0, 4, 5], 5) == [5, 5, 2] and sizes([], 5) == []
+
+
+def test_forests_keep_the_places_of_rows(rows, monkeypatch):
+    """While they are few; the model is the same."""
+    assert training.get_model("random_forest", rows=1000).getCacheNodeIds()
+    assert not training.get_model("random_forest", rows=10**9).getCacheNodeIds()
+    made = []
+    for most in (training.KEPT_PLACES, 0):
+        monkeypatch.setattr(training, "KEPT_PLACES", most)
+        model = training.train_all(rows, ["random_forest"], params={"random_forest": {"numTrees": 3, "maxDepth": 6}})["random_forest"]
+        made.append(model.toDebugString.split("\n", 1)[1])
+    assert made[0] == made[1]
