@@ -76,16 +76,20 @@ class _Round:
         self.feature = np.full((classes, size), NONE, np.int32)
         self.cut, self.value = np.zeros((classes, size), np.int32), np.zeros((classes, size))
 
-    def node_of(self, bins: np.ndarray, k: int, levels: int) -> np.ndarray:
-        at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+    def node_of(self, columns: np.ndarray, k: int, levels: int) -> np.ndarray:
+        """Nodes of rows whose bins are given as features by rows, one after another in memory."""
+        n, flat, node = columns.shape[1], columns.reshape(-1), np.arange(self.feature.shape[1])
+        leaf = self.feature[k] == NONE
+        start = np.where(leaf, 0, self.feature[k]).astype(np.int64) * n
+        cut = np.where(leaf, np.iinfo(np.uint8).max, self.cut[k]).astype(np.uint8)  # no bin is above: a row stays
+        left = np.where(leaf, node, 2 * node + 1)
+        at, rows = np.zeros(n, np.int64), np.arange(n)
         for _ in range(levels):
-            f = self.feature[k, at]
-            below = 2 * at + 1 + (bins[rows, np.maximum(f, 0)] > self.cut[k, at])
-            at = np.where(f == NONE, at, below)
+            at = left.take(at) + (flat.take(start.take(at) + rows) > cut.take(at))
         return at
 
-    def scores(self, bins: np.ndarray, depth: int) -> np.ndarray:
-        return np.stack([v[self.node_of(bins, k, depth)] for k, v in enumerate(self.value)], axis=1)
+    def scores(self, columns: np.ndarray, depth: int) -> np.ndarray:
+        return np.stack([v[self.node_of(columns, k, depth)] for k, v in enumerate(self.value)], axis=1)
 
 
 def _column(batch: pa.RecordBatch, name: str, kind, width: int) -> np.ndarray:
@@ -118,8 +122,8 @@ class _Trainer:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                bins = _column(batch, "bins", np.uint8, width)
-                raw = _column(batch, "raw", float, classes) + grown.scores(bins, depth)
+                columns = np.ascontiguousarray(_column(batch, "bins", np.uint8, width).T)
+                raw = _column(batch, "raw", float, classes) + grown.scores(columns, depth)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _binary(raw)], ["y", "bins", "raw"])
 
         return state.mapInArrow(run, "y int, bins binary, raw binary")
@@ -138,20 +142,21 @@ class _Trainer:
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums, any_row = np.zeros((2, len(some), nodes, width, bins)), False
-            offset = (np.arange(width) * bins)[None, :]
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 any_row = True
                 y = batch.column(0).to_numpy()
-                cells, p = _column(batch, "bins", np.uint8, width), softmax(_column(batch, "raw", float, classes))
+                columns, p = np.ascontiguousarray(_column(batch, "bins", np.uint8, width).T), softmax(_column(batch, "raw", float, classes))
                 for i, k in enumerate(some):
-                    node = grown.node_of(cells, k, level) - first
-                    live = node >= 0  # others ended in a leaf above
-                    at = (node[live, None] * (width * bins) + offset + cells[live]).ravel()
-                    g, h = p[live, k] - (y[live] == k), p[live, k] * (1 - p[live, k])
-                    for s, v in zip(sums, (g, h)):
-                        s[i] += np.bincount(at, np.repeat(v, width), nodes * width * bins).reshape(nodes, width, bins)
+                    node = grown.node_of(columns, k, level) - first
+                    live = np.flatnonzero(node >= 0)  # others ended in a leaf above
+                    q = p[live, k]
+                    g, h, cell = q - (y[live] == k), q * (1 - q), node[live] * bins
+                    for j, column in enumerate(columns if len(live) == len(y) else columns[:, live]):
+                        at = cell + column  # a feature at a time: its arrays and sums stay in the processor's cache
+                        for s, v in zip(sums, (g, h)):
+                            s[i, :, j] += np.bincount(at, v, nodes * bins).reshape(nodes, bins)
             if any_row:
                 for i, part in enumerate(parts):
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([sums[:, :, :, part].tobytes()], pa.binary())], ["block", "sums"])
@@ -317,10 +322,10 @@ class SoftmaxModel(Model, HasFeaturesCol, DefaultParamsReadable, DefaultParamsWr
         def raw_of(values: pa.Array) -> pa.Array:
             prior, depth, cuts, rounds = shared.value
             x = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), len(cuts))
-            cells = binned(x, cuts)
+            columns = np.ascontiguousarray(binned(x, cuts).T)
             raw = np.tile(prior, (len(values), 1))
             for one in rounds:
-                raw += one.scores(cells, depth)
+                raw += one.scores(columns, depth)
             offsets = pa.array(np.arange(0, raw.size + 1, raw.shape[1], dtype=np.int32))
             return pa.ListArray.from_arrays(offsets, pa.array(raw.ravel()))
 

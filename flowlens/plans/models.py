@@ -166,14 +166,20 @@ def mlp_history(spark, sf):
 ONE_VS_REST_ROUNDS = 10
 
 
-@_once
-def _vector_models(spark, sf):
-    return training.train_all(_vector_parts(spark, sf)[0], ML_NAMES, 10)
+def _vector_models(spark, sf, names=ML_NAMES):
+    """Named models of the embeddings; those that a query doesn't score aren't fitted for it."""
+    key = lambda n: ("vector", n, spark.sparkContext.applicationId, sf, files_of(spark, sf))
+    missing = [n for n in names if key(n) not in _KEPT]
+    if missing:
+        made = training.train_all(_vector_parts(spark, sf)[0], missing, 10)
+        _KEPT.update({key(n): m for n, m in made.items()})
+    return {n: _KEPT[key(n)] for n in names}
 
 
 @query("softmax_scores")
 def softmax_scores(spark, sf):
-    return training.score(_vector_models(spark, sf)["gradient_boosting"], _vector_parts(spark, sf)[1])
+    name = "gradient_boosting"
+    return training.score(_vector_models(spark, sf, [name])[name], _vector_parts(spark, sf)[1])
 
 
 @query("gbt_ovr_scores")

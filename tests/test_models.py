@@ -503,3 +503,32 @@ def test_forests_keep_the_places_of_rows(rows, monkeypatch):
         model = training.train_all(rows, ["random_forest"], params={"random_forest": {"numTrees": 3, "maxDepth": 6}})["random_forest"]
         made.append(model.toDebugString.split("\n", 1)[1])
     assert made[0] == made[1]
+
+
+def test_softmax_scores_fits_only_the_booster(spark, monkeypatch):
+    from flowlens.plans import models as plans
+
+    asked = []
+    monkeypatch.setattr(plans, "_KEPT", {})
+    monkeypatch.setattr(plans, "_vector_parts", lambda spark, sf: (None, None))
+    monkeypatch.setattr(plans.training, "train_all", lambda df, names, classes: asked.extend(names) or {n: n for n in names})
+    monkeypatch.setattr(plans.training, "score", lambda model, df: model)
+    assert plans.softmax_scores(spark, "/none") == "gradient_boosting" and asked == ["gradient_boosting"]
+    assert set(plans._vector_models(spark, "/none")) == set(plans.ML_NAMES) and sorted(asked) == sorted(plans.ML_NAMES)
+
+
+def test_softmax_nodes_by_columns():
+    """Rows go down the levels as the definition says; leaves keep theirs, also with the largest bins."""
+    rng = np.random.default_rng(5)
+    grown = boosting._Round(2, 3)
+    grown.feature[0, [0, 1, 2, 5]], grown.cut[0, [0, 1, 2, 5]] = [2, 0, 1, 2], [100, 30, 254, 200]
+    bins = rng.integers(0, 256, size=(300, 3)).astype(np.uint8)
+    for levels in range(4):
+        own = []
+        for row in bins:
+            at = 0
+            for _ in range(levels):
+                at = at if grown.feature[0, at] < 0 else 2 * at + 1 + int(row[grown.feature[0, at]] > grown.cut[0, at])
+            own.append(at)
+        assert grown.node_of(np.ascontiguousarray(bins.T), 0, levels).tolist() == own
+        assert not grown.node_of(np.ascontiguousarray(bins.T), 1, levels).any()
