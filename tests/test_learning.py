@@ -137,3 +137,36 @@ def test_finished_tree_by_definition():
         assert np.allclose(nodes[at][3], counts[same].sum(axis=0)) or (nodes[at][3] > 0).sum() == 1
     draws = forest.bootstrap(np.arange(20_000), 3, 42)
     assert abs(draws.mean() - 1) < 0.03 and abs(draws.var() - 1) < 0.05 and abs(np.corrcoef(draws, forest.bootstrap(np.arange(20_000), 4, 42))[0, 1]) < 0.03
+
+
+def test_importances_of_a_forest_that_is_too_large_for_the_driver(spark, monkeypatch):
+    """They are those of the whole trees by definition, and no node below the upper parts is fetched for them."""
+    monkeypatch.setattr(forest, "TOP_DEPTH", 3)
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, int(rng.integers(2)), [float(v) for v in rng.normal(size=3)]) for i in range(400)], "row_id long, y int, x array<double>")
+    deep = forest.fit(rows.select("row_id", "y", array_to_vector("x").alias("features")).repartition(3), trees=5)
+    want = np.zeros(3)
+    for table in deep.tables.values():
+        gains = np.zeros(3)
+        pure = lambda n: n[4] * (np.array(n[3]) ** 2).sum() / np.sum(n[3]) ** 2
+        for n in table.values():
+            if n[5] >= 0:
+                gains[n[7]] += max(0.0, pure(table[n[5]]) + pure(table[n[6]]) - pure(n))
+        want += gains / gains.sum() / 5
+    nodes = sum(map(len, deep.top.values()))
+    assert sum(map(len, deep.tables.values())) > 2 * nodes
+    monkeypatch.setattr(attribution, "MAX_NODES", nodes)
+    again = forest.DeepForest(deep.top, deep.below, 2, 3)
+    assert np.allclose(again.featureImportances.toArray(), want, atol=1e-12)
+    with pytest.raises(ValueError, match="more than"):
+        again.trees()
+
+
+def test_groups_of_a_forest_have_as_many_rows_as_fit(spark, monkeypatch):
+    """Narrow rows make large groups, so the upper part isn't grown deeper with more thresholds; wide rows don't."""
+    asked = []
+    monkeypatch.setattr(forest, "_top", lambda rows, classes, most, **k: asked.append(most) or {})
+    for width in (5, 64):
+        rows = spark.range(2).select(F.col("id").alias("row_id"), F.lit(1).alias("y"), array_to_vector(F.array(*[F.lit(0.0)] * width)).alias("features"))
+        forest.fit(rows)
+    assert asked == [(32 << 20) // 40, forest.MOST_ROWS]
