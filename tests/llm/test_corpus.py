@@ -310,3 +310,18 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SMALL).collect()
     assert {r["doc_id"] for r in rows} <= left and len(rows) > 0
     assert all(r["n_tokens"] == len(r["token_ids"]) for r in rows)
+
+
+def test_pipeline_stages_compile_no_whole_stages_and_set_that_back(spark, monkeypatch):
+    import corpus_pipeline
+
+    key, seen = "spark.sql.codegen.wholeStage", []
+    was = spark.conf.get(key)
+    monkeypatch.setattr(corpus_pipeline.quality, "keep", lambda docs: seen.append(spark.conf.get(key)))
+    monkeypatch.setattr(corpus_pipeline.near, "dedup", lambda docs: seen.append(spark.conf.get(key)))
+    monkeypatch.setattr(corpus_pipeline.pieces, "encode", lambda docs: seen.append(spark.conf.get(key)) or spark.range(0).selectExpr(
+        "id doc_id", "id source", "id n_tokens", "id token_ids", "id ids_sha256", "id decoded_sha256"))
+    corpus_pipeline.quality_rules(spark, None, "")
+    corpus_pipeline.near_dedup(spark, None, "")
+    corpus_pipeline.tokenize(spark, None, "")
+    assert seen == ["false", "false", was] and spark.conf.get(key) == was
