@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flowlens.functions.quantiles import exact_quantiles
 from flowlens.functions.scores import argmax, confidence, baseline_gap, baseline_side
 from flowlens.functions.stats import clean_numeric
-from flowlens.operators import evaluate, network
+from flowlens.operators import cells, evaluate, network
 from flowlens.operators.boosting import SoftmaxBoosting
 from flowlens.session import require_checkpoint_dir
 from flowlens.sources.state import MOST_ROWS, dealt, part_rows, shared
@@ -224,15 +225,30 @@ def fit_mlp(
     return Fitted(*network.fit(df, shape, validation, epochs=epochs, patience=patience, batch=batch, seed=seed))
 
 
+BY_ROW = {"minInstancesPerNode", "subsamplingRate"}  # parameters that tell rows alike apart
+
+
 def fit_boosting(df: DataFrame, validation: Column, **params) -> Fitted:
-    """Boosted trees that stop when the validation error stops falling."""
+    """Boosted trees that stop when the validation error stops falling.
+
+    Rows that the trees can't tell apart are boosted as one weighted row, see ``cells``.
+    """
     require_checkpoint_dir(df.sparkSession)
+    stop = {"validationIndicatorCol": "held_out", "validationTol": 0.001}
     marked, _ = _parts(df.withColumn("held_out", validation).select("features", "y", "held_out"))
-    with shared(marked):
-        stop = {"validationIndicatorCol": "held_out", "validationTol": 0.001}
-        model = train(get_model("gradient_boosting", **stop, **params), marked)
-        sides = [
-            model.evaluateEachIteration(marked.where(F.col("held_out") == held))
-            for held in (False, True)
-        ]
+    if BY_ROW & set(params):
+        with shared(marked):
+            return _boosted(get_model("gradient_boosting", **stop, **params), marked)
+    plain = get_model("gradient_boosting", **stop, **params)
+    with shared(marked), cells.cells(marked, "held_out", plain.getMaxBins(), plain.getSeed()) as (few, cuts):
+        marked.unpersist()
+        # as many bins as make Spark look at every cell for its thresholds: there are none but between the bins
+        most = max(plain.getMaxBins(), math.isqrt(few.where("NOT held_out").count()) + 1)
+        fit = _boosted(plain.copy({plain.maxBins: most}).setWeightCol("n"), few)
+    return Fitted(cells.BinnedModel(fit.model, cuts), fit.history)
+
+
+def _boosted(estimator, marked: DataFrame) -> Fitted:
+    model = train(estimator, marked)
+    sides = [model.evaluateEachIteration(marked.where(F.col("held_out") == held)) for held in (False, True)]
     return Fitted(model, [(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(*sides))])

@@ -228,6 +228,32 @@ def test_boosting_with_validation(rows):
     assert fit.history[0][1] > fit.history[-1][1]
 
 
+def test_boosting_by_cells_is_boosting_by_rows(spark, monkeypatch):
+    """The losses and scores of Spark's fit of all rows, thresholds from the rows it draws; what is fitted has fewer rows."""
+    u = lambda i, n: F.pmod(F.xxhash64("row_id", F.lit(i)), F.lit(n))
+    raw = spark.range(24000).withColumnRenamed("id", "row_id").select("row_id", (u(1, 90) / 9.0).alias("a"), (u(2, 4) - 1.0).alias("b"), (u(3, 25) / 5.0).alias("c"))
+    raw = raw.withColumn("y", (F.col("a") * F.col("c") + F.col("b") + u(4, 9) / 3.0 > 25).cast("int"))
+    many = raw.withColumn("features", array_to_vector(F.array("a", "b", "c"))).repartition(4).cache()
+    fitted, train = [], training.train
+    monkeypatch.setattr(training, "train", lambda e, df: fitted.append(df.count()) or train(e, df))
+    held = F.col("row_id") % 10 == 0
+    new, old = (training.fit_boosting(many, held, maxIter=4, maxDepth=4, **p) for p in ({}, {"minInstancesPerNode": 1}))
+    assert fitted[1] == 24000 and fitted[0] <= 2 * 2 * 32 * 4 * 25
+    assert np.allclose(new.history, old.history, rtol=1e-9)
+    p = [training.score(f.model, many).orderBy("row_id").select(F.col("p")[1]).toPandas().to_numpy() for f in (new, old)]
+    assert np.allclose(*p, atol=1e-9)
+
+
+def test_thresholds_as_spark_finds_them():
+    from flowlens.operators.cells import thresholds
+
+    assert thresholds(np.array([1.0, 3, 3, 7]), 4, 32).tolist() == [2, 5]
+    assert thresholds(np.array([0.0, 2, 2]), 3, 32).tolist() == [1]
+    assert thresholds(np.array([1.0, 3]), 4, 32).tolist() == [0.5, 2]  # two expected rows are missing
+    assert thresholds(np.arange(1.0, 101), 100, 4).tolist() == [25.5, 50.5, 75.5]
+    assert thresholds(np.full(9, 4.0), 9, 32).tolist() == []
+
+
 def test_marts(spark, rows, models, tmp_path):
     trees = {n: attribution.trees_of(models[n]) for n in ("random_forest", "decision_tree")}
     parts = attribution.attribute_all(rows, trees, NAMES)
