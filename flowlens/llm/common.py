@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -75,6 +76,23 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, was)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def freed_after(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """The task's function; at a part's end the memory that it no longer uses goes back to the system, as Python
+    workers live on and serve other stages."""
+
+    def whole(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+                pool.release_unused()
+
+    return whole
+
+
 def with_python(spark: SparkSession) -> None:
     """Python workers will need this package."""
     ship_package(spark)

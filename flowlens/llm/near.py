@@ -33,14 +33,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowlens.llm.common import batches_of, extended, kept_table, lookup, numbered, possible_member, with_python
+from flowlens.llm.common import batches_of, extended, freed_after, kept_table, lookup, numbered, possible_member, with_python
 
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 WORDS, PERCENT = 5, 80
 PARITY_BITS = 512
-WORD_MEMO = 400_000
+WORD_MEMO = 100_000  # remembered words of a task; only speed depends on it
 PAIRS_AT_ONCE = 4096  # of one class, before its set is there more than once
 SETS_AT_ONCE = 512  # rows with texts or sets that a Python worker is sent together
 MEMBERS_AT_ONCE = 1024  # of one bucket, before its members are compared block by block
@@ -177,7 +177,7 @@ def _sets(df: DataFrame, text: str, words: int, *, sketches: bool, sets: bool) -
             added += [pa.array(whole, pa.binary()), pa.array(odd, pa.list_(pa.int64()))] if sets else []
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(freed_after(run), schema)
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([at["a"].filter(mask), at["b"].filter(mask)], ["a", "b"])
 
-    return both.mapInArrow(run, f"a {CLASS}, b {CLASS}")
+    return both.mapInArrow(freed_after(run), f"a {CLASS}, b {CLASS}")
 
 
 def components(edges: DataFrame) -> DataFrame:

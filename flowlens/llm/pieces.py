@@ -21,10 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from flowlens.llm.common import extended, text_or_empty, with_python, without_names
+from flowlens.llm.common import extended, freed_after, text_or_empty, with_python, without_names
 
 GAP = "▁"
-MEMO = 300_000  # remembered chunks (in each of two generations) and pairs of a worker; only speed depends on it
+MEMO = 300_000  # remembered pairs of a worker; only speed depends on it
+CHUNKS = 150_000  # remembered chunks of a task, in each of two generations
 LONG_CHUNK = 64
 ROWS_AT_ONCE = 128
 _READY: dict[str, "PieceCodec"] = {}
@@ -78,7 +79,7 @@ class _Chunks(dict):
             if text != chunk:
                 self.codec.unlike[chunk] = text
         if len(chunk) <= LONG_CHUNK:
-            if len(self) >= MEMO:
+            if len(self) >= CHUNKS:
                 self.old = dict(self)
                 self.clear()
             self[chunk] = joined
@@ -153,6 +154,10 @@ class PieceCodec:
             known = self.fits[key] = a + b not in self.order and merge(list(a + b), self.order) == [a, b]
         return known
 
+    def forget(self) -> None:
+        """Drops the chunks of a part's texts: the worker lives on, and most chunks are in few texts."""
+        self.known, self.unlike = _Chunks(self), {}
+
     def encode_chunk(self, chunk: str) -> list[int]:
         """Token numbers of a chunk whose characters all occur in the vocabulary."""
         longest = [-1] * len(chunk)
@@ -262,9 +267,12 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", *, ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for whole in batches:
-            for start in range(0, whole.num_rows, ROWS_AT_ONCE):  # ids take many times their text's space
-                yield encoded(own, whole.slice(start, ROWS_AT_ONCE))
+        try:
+            for whole in batches:
+                for start in range(0, whole.num_rows, ROWS_AT_ONCE):  # ids take many times their text's space
+                    yield encoded(own, whole.slice(start, ROWS_AT_ONCE))
+        finally:
+            own.forget()
 
     def encoded(own: PieceCodec, batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, id_hash, text_hash, lists = [], [], [], []
@@ -280,4 +288,4 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", *, ids
         columns += [pa.array(lists, pa.list_(pa.int32()))] if ids else []
         return pa.RecordBatch.from_arrays([*batch.columns, *columns], schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(freed_after(run), schema)

@@ -91,3 +91,24 @@ def test_running_sums(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert [f(none).count() for f in (pii.scan, secret_scan.scan, licenses.scan)] == [0, 0, 0]
+
+
+def test_workers_remember_little():
+    """What a worker remembers of words and chunks is bounded, and chunks go with the part they came from."""
+    from flowlens.llm import near, pieces
+    from flowlens.llm.common import freed_after
+
+    memo = near._WordHash()
+    largest = 0
+    for i in range(150_000):
+        memo[b"w%d" % i]
+        largest = max(largest, len(memo))
+    assert largest <= 100_000
+    own = pieces.codec(pieces.default_model())
+    text = "some words, and \u0416\u2603\U0001f600 others"
+    first = own.joined(own.split(text)), own.decoded(own.split(text))
+    assert own.known
+    own.forget()
+    assert not own.known and not own.known.old and not own.unlike
+    assert (own.joined(own.split(text)), own.decoded(own.split(text))) == first
+    assert list(freed_after(lambda parts: (2 * p for p in parts))(iter([1, 2]))) == [2, 4]
