@@ -76,6 +76,19 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, was)
 
 
+@contextmanager
+def small_jobs(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside compile no code for whole stages, which in loops of small jobs fills the driver's memory
+    and is too long for the JVM to compile further."""
+    key = "spark.sql.codegen.wholeStage"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 Batches = Iterator[pa.RecordBatch]
 
 

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowlens.llm.common import extended, kept_table, lookup, numbered, with_python
+from flowlens.llm.common import HEAVY, extended, kept_table, lookup, numbered, small_jobs, with_python
 
 MIN_WORDS, MAX_REPEATED = 20, 30  # words; per cent of words in repeated windows
 WINDOW = 8
@@ -252,12 +252,13 @@ def _starts(rows: DataFrame) -> DataFrame:
     return kept_table(_estimates(_sums(rows.withColumn("start", F.explode(F.array(F.lit(0), *sides))))))
 
 
-def _step(rows: DataFrame, tries: DataFrame, total: int) -> DataFrame:
+def _step(rows: DataFrame, tries: DataFrame, total: int, few: bool) -> DataFrame:
     """Estimates of the half that lies closest to each of the given ones; of old and new the one of smaller
-    determinant over a half, and whether that is a new one."""
+    determinant over a half, and whether that is a new one. With ``few``, all groups are broadcast."""
     packed = lambda t, *more: kept_table(t.groupBy("g", "size").agg(F.collect_list(F.struct("start", "model", *more)).alias("t")))
     bins = F.floor(F.log2(F.greatest(_distance2(), F.lit(0.0)) + 1e-6) * BINS_PER_OCTAVE).cast("int")
-    spread = lambda groups: _joined(rows, groups, total).select("g", "size", "v", F.inline("t")).withColumn("bin", bins)
+    joined = lambda groups: rows.join(F.broadcast(groups), "g") if few else _joined(rows, groups, total)
+    spread = lambda groups: joined(groups).select("g", "size", "v", F.inline("t")).withColumn("bin", bins)
     counts = spread(packed(tries)).groupBy("g", "size", "start", "bin").agg(F.count(F.lit(1)).alias("n"))
     limits = counts.groupBy("g", "size", "start").agg(F.collect_list(F.struct("bin", "n")).alias("bins")).select("g", "start", F.expr(
         "aggregate(array_sort(bins), struct(0L as seen, cast(null as int) as lim), (a, x) -> struct(a.seen + x.n as seen, "
@@ -285,8 +286,9 @@ def halves(rows: DataFrame) -> DataFrame:
     """(g, size, n, model, det) of the half of smallest determinant found in every group of rows (g, v)."""
     total = rows.count()
     tries = _starts(rows).withColumn("halved", F.lit(False)).withColumn("moved", F.lit(True))
+    few = not tries.where(F.col("size") * HEAVY <= total).limit(1).count()  # groups that hold many rows each are few
     for step in range(MOST_STEPS):
-        tries = _step(rows, tries, total)
+        tries = _step(rows, tries, total, few)
         if step + 1 == EARLY_STEPS:
             tries = kept_table(_best(tries, FINALISTS))
         if not tries.where("moved").limit(1).count():
@@ -326,8 +328,9 @@ def _described(docs: DataFrame) -> DataFrame:
 
 def _fitted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Slim rows with their group, and the groups' estimates."""
-    rows = _placed(kept_table(_described(docs).drop("text")))
-    return rows, fit(rows.select("g", "v"))
+    with small_jobs(docs.sparkSession):
+        rows = _placed(kept_table(_described(docs).drop("text")))
+        return rows, fit(rows.select("g", "v"))
 
 
 def _verdict(rows: DataFrame) -> DataFrame:

@@ -166,6 +166,31 @@ def test_quality_distance_follows_the_spread(spark):
     assert max(far[0][1], far[1][1]) < quality.CUTOFF
 
 
+def test_quality_fits_in_small_jobs_without_code_for_whole_stages(spark, monkeypatch):
+    key, seen, kept = "spark.sql.codegen.wholeStage", [], quality.kept_table
+    was = spark.conf.get(key)
+    monkeypatch.setattr(quality, "kept_table", lambda df: seen.append(spark.conf.get(key)) or kept(df))
+    docs = spark.createDataFrame([(i, f"a{i} b c d" * 9, "en", "s") for i in range(20)], "doc_id long, text string, lang string, source string")
+    assert quality.decisions(docs).count() == 20
+    assert set(seen) == {"false"} and spark.conf.get(key) == was
+
+
+def test_quality_broadcasts_groups_once_a_step_where_all_hold_many_rows(spark, monkeypatch):
+    import numpy as np
+
+    rng, calls, lookup = np.random.default_rng(6), [], quality.lookup
+    values = [(g, (0.05 * r).tolist()) for g in "ab" for r in rng.normal(size=(300, len(quality.STATS)))]
+    rows = spark.createDataFrame(values, "g string, v array<double>")
+    monkeypatch.setattr(quality, "lookup", lambda *a: calls.append(a) or lookup(*a))
+    few = sorted(map(tuple, quality.halves(rows).collect()))
+    assert len(calls) == 1  # for the starts only
+    monkeypatch.setattr(quality, "HEAVY", 0)  # now groups may be many
+    many = sorted(map(tuple, quality.halves(rows).collect()))
+    assert len(calls) > 2 and [x[:3] for x in few] == [x[:3] for x in many]
+    for x, y in zip(few, many):
+        assert x[3] == pytest.approx(y[3], abs=2e-3) and x[4] == pytest.approx(y[4], abs=1e-5)
+
+
 @pytest.mark.parametrize("scan,kinds,plain,base,spans", [
     (pii.scan, pii.BASE, brute.pii, "pii_base", "pii_spans"),
     (secret_scan.scan, secret_scan.BASE, brute.secrets, "secret_base", "secret_spans"),
