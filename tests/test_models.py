@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from flowlens.operators import anomaly, attribution, boosting, contributions, network, surrogate, training
+from flowlens.operators import anomaly, attribution, boosting, contributions, draws, network, surrogate, training
 from flowlens.plans import marts
 from flowlens.sources.state import Registry, part_rows, spread
 
@@ -558,3 +558,51 @@ def test_softmax_nodes_by_columns():
             own.append(at)
         assert grown.node_of(np.ascontiguousarray(bins.T), 0, levels).tolist() == own
         assert not grown.node_of(np.ascontiguousarray(bins.T), 1, levels).any()
+
+
+def in_one_task(chosen, context, x, samples=400, labels=None):
+    """Rules of rows by the code of a task, by (id, model, label, feature)."""
+    import pyarrow as pa
+
+    around = surrogate._array_neighbours(context, samples, 42)
+    offsets = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], ["id", "x"])
+    run = surrogate._whole(list(chosen), x.shape[1], labels, list(chosen.values()), around, 0.75 * x.shape[1] ** 0.5)
+    return {(r["id"], r["model"], r["label"], r["pos"]): r for b in run(iter([batch])) for r in b.to_pylist()}
+
+
+def test_rules_by_tables_draw_once_and_equal_rules_by_values(rows, models, monkeypatch):
+    """All models are explained by one draw a row; the rules are those of the neighbours' values."""
+    context = surrogate.Context.fit(rows, NAMES)
+    x = np.array([r["features"].toArray() for r in rows.orderBy("row_id").limit(30).collect()])
+    chosen, drawn = {n: surrogate.scorer_of(models[n]) for n in ("random_forest", "gradient_boosting", "decision_tree")}, []
+    philox = np.random.Philox
+    with monkeypatch.context() as patch:
+        patch.setattr(np.random, "Philox", lambda **k: drawn.append(k) or philox(**k))
+        for labels in (None, [0, 1]):
+            got, n = in_one_task(chosen, context, x, 20_000, labels), len(drawn)
+            drawn.clear()
+            assert n == len(x)  # not once a model
+            with monkeypatch.context() as alone:
+                alone.setattr(surrogate.TreeScorer, "cells", lambda self, rows: 0)
+                want = in_one_task(chosen, context, x, 20_000, labels)
+                drawn.clear()
+            assert set(got) == set(want) and len(got) == len(x) * 3 * 4 * len(labels or [0])
+            for k, r in got.items():
+                assert r["bin"] == want[k]["bin"] and r["p"] == want[k]["p"]
+                assert all(abs(r[c] - want[k][c]) < 1e-9 for c in ("weight", "intercept", "r2"))
+
+
+def test_draws_tell_cells_to_the_last_bit():
+    """Draws next to a threshold's own, and bins that are one value."""
+    rng = np.random.default_rng(4)
+    for mean, std, low, high in ((3.0, 0.01, 2.9, 3.1), (0.0, 1.0, -1.0, 1.0), (5.0, 0.0, 5.0, 5.0), (-1e6, 3.0, -1e6 - 4, -1e6 + 9)):
+        edges = np.unique(np.concatenate([[low, mean, high], rng.uniform(low - 0.1, high + 0.1, 20)]))
+        value = lambda z: np.minimum(np.maximum(mean + std * z, low), high)  # noqa: E731, B023
+        told = draws.last_below(value, edges)
+        near = told[np.isfinite(told)]
+        z = np.concatenate([near, np.nextafter(near, np.inf), rng.normal(size=1000), [-39.0, 39.0]])
+        want = (value(z)[:, None] > edges).sum(axis=1)
+        assert ((z[:, None] > told).sum(axis=1) == want).all()
+        cells = draws.Cells.of([edges], [np.empty(0)], [[np.array([v])] for v in (mean, std, low, high)])
+        assert (cells.around(np.zeros((len(z), 1)), z[:, None])[1][0] == want).all()
