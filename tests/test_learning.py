@@ -5,7 +5,8 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from flowlens.operators import anomaly, attribution, dictionary, encode, forest, publish, training
+from flowlens.operators import anomaly, attribution, celltrees, dictionary, encode, forest, publish, training
+from flowlens.session import require_checkpoint_dir
 
 
 def test_dictionary(spark):
@@ -170,3 +171,95 @@ def test_groups_of_a_forest_have_as_many_rows_as_fit(spark, monkeypatch):
         rows = spark.range(2).select(F.col("id").alias("row_id"), F.lit(1).alias("y"), array_to_vector(F.array(*[F.lit(0.0)] * width)).alias("features"))
         forest.fit(rows)
     assert asked == [(32 << 20) // 40, forest.MOST_ROWS]
+
+
+def labelled(spark, n=4000):
+    """Rows of few distinct values and a noisy label, whose cells hold several rows each."""
+    u = lambda i, k: F.pmod(F.xxhash64("id", F.lit(i)), F.lit(k)).cast("double")
+    x = [u(0, 9), u(1, 5) - 2, u(2, 3) / 7, u(3, 60)]
+    y = F.when(u(4, 10) < 8, (x[0] + 2 * x[1] > 4).cast("int")).otherwise((u(5, 2) > 0).cast("int"))
+    return spark.range(n).select(F.col("id").alias("row_id"), y.alias("y"), array_to_vector(F.array(*x)).alias("features")).repartition(3).cache()
+
+
+SMALL_TREES = {
+    "random_forest": {"numTrees": 40, "maxDepth": 6}, "decision_tree": {"maxDepth": 8}, "gradient_boosting": {"maxIter": 5, "maxDepth": 3}}
+
+
+def test_trees_of_many_rows_are_fitted_on_cells(spark, monkeypatch):
+    """Single and boosted trees are those of the rows; a forest is one of other draws."""
+    rows, made = labelled(spark), {}
+    for least in (1, 10**9):
+        monkeypatch.setattr(celltrees, "LEAST_ROWS", least)
+        if least > 1:
+            monkeypatch.setattr(celltrees, "fit", None)  # not asked
+        made[least] = training.train_all(rows, list(SMALL_TREES), params=SMALL_TREES)
+    told = lambda m: [r[0].toArray() for r in m.transform(rows).orderBy("row_id").select("probability").collect()]
+    for name in SMALL_TREES:
+        a, b = (made[k][name] for k in (1, 10**9))
+        p, q = np.array(told(a)), np.array(told(b))
+        if name == "random_forest":
+            assert a.getNumTrees == 40 and a.numClasses == 2 and abs(p - q).mean() < 0.03 and p.std() > 0.15
+            assert abs(a.featureImportances.toArray() - b.featureImportances.toArray()).max() < 0.05
+        else:
+            assert np.allclose(p, q, atol=1e-9)
+            assert np.allclose(a.featureImportances.toArray(), b.featureImportances.toArray(), atol=1e-9)
+        trees = attribution.trees_of(a)
+        x = np.array([r[0].toArray() for r in rows.orderBy("row_id").select("features").limit(50).collect()])
+        total = trees.base + attribution.contributions_of(x, trees).sum(axis=1)
+        assert np.allclose(1 / (1 + np.exp(-2 * total)) if name == "gradient_boosting" else total, p[:50, 1], atol=1e-9)
+        # counts of rows, not of cells, tell how many go each way
+        assert np.allclose(trees.base, attribution.trees_of(b).base, atol=0.02 if name == "random_forest" else 1e-9)
+
+
+def test_forests_of_cells_draw_rows(spark, monkeypatch):
+    """A tree's root holds as many rows as were drawn, about as many as there are; the model doesn't depend on parts of the rows."""
+    monkeypatch.setattr(celltrees, "LEAST_ROWS", 1)
+    rows, params = labelled(spark), {"random_forest": {"numTrees": 30, "maxDepth": 3}}
+    one = training.train_all(rows, ["random_forest"], params=params)["random_forest"]
+    path = f"{require_checkpoint_dir(spark)}/forest-of-cells"
+    one.write().overwrite().save(path)
+    tables = attribution.node_tables(spark, path, "forest")
+    roots = np.array([t[0][4] for t in tables.values()])
+    assert len(roots) == 30 and abs(roots.mean() - 4000) < 60 and 20 < roots.std() < 130  # Poisson: 63
+    for table in tables.values():
+        for n in table.values():
+            if n[5] >= 0:
+                left, right = table[n[5]], table[n[6]]
+                assert n[3] == [a + b for a, b in zip(left[3], right[3])] and n[4] == sum(n[3]) and min(left[4], right[4]) >= 1
+                assert left[5] >= 0 or right[5] >= 0 or left[2] != right[2]  # pruned as Spark's trees
+    assert {n[7] for t in tables.values() for n in t.values() if n[1] == 0} > {0}  # not all trees may use all features
+    monkeypatch.setattr(celltrees, "HISTOGRAMS", 100)  # few nodes at a time
+    again = training.train_all(rows, ["random_forest"], params=params)["random_forest"]
+    assert again.toDebugString.split("\n", 1)[1] == one.toDebugString.split("\n", 1)[1]
+
+
+def test_split_of_a_level_by_definition():
+    rng = np.random.default_rng(8)
+    x, y, w = rng.integers(0, 7, size=(3, 300)).astype(np.uint8), rng.integers(0, 3, 300), rng.integers(1, 4, 300).astype(float)
+    node = rng.integers(0, 4, 300)
+    total = np.array([np.bincount(y[node == k], w[node == k], 3) for k in range(4)])
+    chosen = np.array([[True, True, False], [False, True, True], [True, True, True], [False, False, True]])
+    gain, feature, cut, left = celltrees._best(x, y, w, node, total, [7, 7, 7], chosen)
+    gini = lambda c: 1 - ((c / c.sum()) ** 2).sum()
+    for k in range(4):
+        want = {}
+        for j in np.flatnonzero(chosen[k]):
+            for b in range(6):
+                side = (node == k) & (x[j] <= b)
+                c = np.bincount(y[side], w[side], 3)
+                want[j, b] = gini(total[k]) - c.sum() / total[k].sum() * gini(c) - (total[k] - c).sum() / total[k].sum() * gini(total[k] - c)
+        best = max(want.values())
+        assert abs(gain[k] - best) < 1e-12 and abs(want[feature[k], cut[k]] - best) < 1e-12
+        assert (left[k] == np.bincount(y[(node == k) & (x[feature[k]] <= cut[k])], w[(node == k) & (x[feature[k]] <= cut[k])], 3)).all()
+
+
+def test_fits_that_cells_cannot_tell_go_by_row(spark, monkeypatch):
+    monkeypatch.setattr(celltrees, "LEAST_ROWS", 1)
+    rows = labelled(spark, 500)
+    for name, odd in (("random_forest", {"subsamplingRate": 0.5}), ("decision_tree", {"minInstancesPerNode": 3}), ("gradient_boosting", {"subsamplingRate": 0.5})):
+        estimator = training.get_model(name, 2, 500, **odd)
+        assert celltrees.fit(training._columns(estimator, "features", "y"), rows) is None
+    assert celltrees.fit(training.get_model("logistic_regression"), rows) is None
+    monkeypatch.setattr(celltrees, "MOST_CELLS", 3)
+    model = training.train_all(rows, ["random_forest"], params=SMALL_TREES)["random_forest"]
+    assert model.getNumTrees == 40
