@@ -263,3 +263,21 @@ def test_fits_that_cells_cannot_tell_go_by_row(spark, monkeypatch):
     monkeypatch.setattr(celltrees, "MOST_CELLS", 3)
     model = training.train_all(rows, ["random_forest"], params=SMALL_TREES)["random_forest"]
     assert model.getNumTrees == 40
+
+
+def test_small_nodes_are_finished_as_large_ones(monkeypatch):
+    """Row by row, with the same draws, splits, thresholds and numbers of nodes."""
+    rng = np.random.default_rng(9)
+    for classes, wide in ((2, False), (3, True)):
+        x = np.round(rng.normal(size=(700, 5)), 6 if wide else 1)
+        counts = np.eye(classes)[rng.integers(0, classes, 700)] * rng.integers(1, 4, 700)[:, None]
+        called, made, by_rows = [], [], forest.finished_by_rows
+        monkeypatch.setattr(forest, "finished_by_rows", lambda *a: called.append(1) or by_rows(*a))
+        for few in (0, 16):
+            monkeypatch.setattr(forest, "FEW_ROWS", few)
+            made.append(forest.finished(x, counts, np.random.default_rng(1)))
+            assert bool(called) == bool(few)
+        assert len(made[0]) > 300 and (made[0] == made[1]).all()
+        monkeypatch.setattr(forest, "finished_by_rows", by_rows)
+        x[3, 2] = np.nan
+        assert len(forest.finished(x, counts, np.random.default_rng(1))) > 300
